@@ -47,8 +47,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, fn: Callable[[list], dict[str, list]], schema: str, *, text: str = "text", keep: str = "", raw: bool = False) -> DataFrame:
-    """Apply fn to lists of whole texts on the executors, null as empty.
+def map_texts(df: DataFrame, fn: Callable[[list], dict[str, list]], schema: str, *, text: str = "text", args: tuple[str, ...] = (), keep: str = "", raw: bool = False) -> DataFrame:
+    """Apply fn to lists of whole texts, and of the values of the columns in args, on the executors; a null text is empty.
 
     df holds the text column and the columns to keep (as DDL in `keep`); fn gives the further columns that `schema` names.
     raw: fn gets UTF-8 bytes instead of str.
@@ -65,7 +65,7 @@ def map_texts(df: DataFrame, fn: Callable[[list], dict[str, list]], schema: str,
         for part in chunks(batches, text):
             column = part.column(text)
             texts = [empty if x is None else x for x in (column.cast(pa.binary()) if raw else column).to_pylist()]
-            made = fn(texts)
+            made = fn(texts, *(part.column(a).to_pylist() for a in args))
             columns = [part.column(n) for n in kept_names] + [made[n] for n in names]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
@@ -81,3 +81,9 @@ def ddl(df: DataFrame, *names: str) -> str:
 def whole(column: str) -> "F.Column":
     """A text column with null as empty."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns under names that clash with no others, and those names by the old ones."""
+    names = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names

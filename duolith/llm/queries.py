@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, quality_rules, secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_rules": quality_rules.query,
+        "op3_secret_scan": secret_scan.query,
         "op4_exact_dedup": exact_dedup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_quality_rules": quality_rules.SQL,
         "op4_exact_dedup": exact_dedup.SQL,
     }

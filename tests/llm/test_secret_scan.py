@@ -1,0 +1,71 @@
+import hashlib
+import random
+import re
+from collections import Counter
+from math import log2
+
+from duolith.llm.secret_scan import WINDOW, AllowList, query, redact, scan, scan_secrets, windows
+
+KEY = "aZ3kQ9xL2mN8pR5tV7wB1cD4"
+
+
+def brute_windows(text, bits):
+    w = min(WINDOW, len(text))
+    cover = set()
+    for i in range(len(text) - w + 1):
+        n = Counter(text[i : i + w])
+        if -sum(c / w * log2(c / w) for c in n.values()) >= bits - 1e-12:
+            cover |= set(range(i, i + w))
+    return cover
+
+
+def test_windows_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(200):
+        text = "".join(rng.choice("abcdefgh0123456789"[: rng.randrange(2, 18)]) for _ in range(rng.randrange(20, 80)))
+        got = windows(text, 3.0)
+        assert {i for a, b in got for i in range(a, b)} == brute_windows(text, 3.0)
+        assert all(b < c for (_, b), (c, _) in zip(got, got[1:]))
+
+
+def test_base_spans():
+    text = """PASSWORD = "hunter22!" é api-key: abcdefgh apikey:'short' token=  "x.y.z/12345" ſecret=abcdefghij AKIA123 AKIA1234567890ABCD """ + "a" * 31 + " x" + "0f" * 16
+    base, _ = scan(text, AllowList())
+    found = [(k, text[a:b]) for a, b, k in base]
+    assert found == [("assign", 'PASSWORD = "hunter22'), ("assign", 'token=  "x.y.z/12345'), ("access", "AKIA1234567890ABCD"), ("hex", "0f" * 16)]
+
+
+def test_entropy_spans_and_allow_list():
+    kinds = lambda t, allow=AllowList(): [(t[a:b], k) for a, b, k in scan(t, allow)[1]]
+    assert kinds(f"go {KEY} on") == [(KEY, "entropy")]
+    assert kinds(f"go {KEY} on", AllowList(frozenset({KEY}))) == []
+    for clean in ("123e4567-e89b-12d3-a456-426614174000", "internationalisationsverordnungen", "a" * 500, "2024-01-01-10-20-30-40-50", "/usr/share/doc/python-3/examples", "0123456789abcdef0123456789"):
+        assert [x for x in kinds(f"x {clean} y") if x[1] == "entropy"] == [], clean
+    assert kinds(f"token={KEY}") == [(f"token={KEY}", "assign")]  # no second span for it
+
+
+def test_table(spark, tmp_path):
+    rows = [(1, f"x {KEY}"), (2, None), (3, ""), (3, ""), (None, "token = abcdefgh1"), (5, "ab" * 400_000 + f" {KEY}")]
+    df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, secrets string")
+    got = scan_secrets(df).collect()
+    assert len(got) == len(rows) and {r.doc_id: len(r.secrets) for r in got} == {1: 1, 2: 0, 3: 0, None: 1, 5: 1}
+    assert {r.doc_id: r.text for r in redact(df).collect()}[1] == "x [SECRET]"
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for r in query(spark, str(tmp_path)).collect():
+        base, spans = scan(dict(rows)[r.doc_id] or "", AllowList())
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in base).encode()).hexdigest()
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
+    assert scan_secrets(df.limit(0)).count() == 0
+
+
+def test_long_texts_take_linear_time():
+    for text in ("a" * 2_000_000, "0" * 2_000_000, "AKIA" * 300_000, "token" * 300_000, "abc1D" * 200_000, "=" * 1_000_000):
+        scan(text, AllowList())
+
+
+def test_contract_patterns_have_their_meaning():
+    rng = random.Random(1)
+    plain = re.compile(r"[0-9a-f]+")
+    for _ in range(300):
+        t = "".join(rng.choice("0af9 gA") for _ in range(200)).replace("0", "00af9" * 7)
+        assert [(m.start(), m.end()) for m in plain.finditer(t) if m.end() - m.start() >= 32] == [(a, b) for a, b, k in scan(t, AllowList())[0] if k == "hex"]
