@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality_rules, secret_scan
+from . import exact_dedup, pii, quality_rules, secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": quality_rules.query,
         "op3_secret_scan": secret_scan.query,
         "op4_exact_dedup": exact_dedup.query,
+        "op10_pii": pii.query,
     }
 
 

@@ -45,7 +45,7 @@ def test_entropy_spans_and_allow_list():
 
 
 def test_table(spark, tmp_path):
-    rows = [(1, f"x {KEY}"), (2, None), (3, ""), (3, ""), (None, "token = abcdefgh1"), (5, "ab" * 400_000 + f" {KEY}")]
+    rows = [(1, f"x {KEY}"), (2, None), (3, ""), (3, ""), (None, "token = abcdefgh1"), (5, "xy" * 400_000 + f" {KEY}")]
     df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, secrets string")
     got = scan_secrets(df).collect()
     assert len(got) == len(rows) and {r.doc_id: len(r.secrets) for r in got} == {1: 1, 2: 0, 3: 0, None: 1, 5: 1}
