@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, pii, quality_rules, secret_scan
+from . import exact_dedup, pii, quality_rules, secret_scan, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": url_filter.query,
         "op2_quality_rules": quality_rules.query,
         "op3_secret_scan": secret_scan.query,
         "op4_exact_dedup": exact_dedup.query,
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_url_filter": url_filter.SQL,
         "op2_quality_rules": quality_rules.SQL,
         "op4_exact_dedup": exact_dedup.SQL,
     }
