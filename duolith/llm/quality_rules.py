@@ -14,13 +14,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import aside, ddl, map_texts, read
+from .common import aside, cut, ddl, map_texts, read
 
 #: A line is boilerplate if at least this share of the host's distinct documents have it, and MIN_DOCS of them.
 LINE_SHARE = 0.1
 MIN_DOCS = 10
 #: A document is depleted if less than this share of its words is left.
 LEFT = 0.3
+#: The lines above the limit are broadcast up to so many longs (8 MB), and joined by host beyond.
+BROADCAST_LONGS = 1 << 20
 MIN_WORDS = 20
 REPEATED = 30
 WINDOW = 8
@@ -113,10 +115,13 @@ def boilerplate(rows: DataFrame, share: float = LINE_SHARE, min_docs: int = MIN_
     """
     lines = map_texts(rows, line_hashes, "digest binary, lines array<long>", keep=ddl(rows, "host"), raw=True)
     distinct = lines.groupBy("host", "digest").agg(F.first("lines").alias("lines"))
-    totals = distinct.groupBy("host").agg(F.count("*").alias("docs")).select(F.col("host").alias("bad_host"), "docs")
-    found = distinct.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    many = found.join(totals, F.col("host").eqNullSafe(F.col("bad_host"))).where(F.col("n") >= F.col("docs") * share)
-    return many.groupBy("bad_host").agg(F.collect_list("line").alias("bad"))
+    every = F.explode(F.concat("lines", F.array(F.lit(None).cast("long")))).alias("line")  # a null for each document, to count them
+    counts = cut(distinct.select("host", every).groupBy("host", "line").agg(F.count("*").alias("n")).where((F.col("n") >= min_docs) | F.col("line").isNull()))
+    totals = counts.where("line IS NULL").select(F.col("host").alias("bad_host"), F.col("n").alias("docs"))
+    many = counts.where("line IS NOT NULL").join(totals, F.col("host").eqNullSafe(F.col("bad_host"))).where(F.col("n") >= F.col("docs") * share)
+    bad = cut(many.groupBy("bad_host").agg(F.collect_list("line").alias("bad")))
+    held = bad.agg(F.sum(F.size("bad") + 16)).first()[0] or 0
+    return F.broadcast(bad) if held <= BROADCAST_LONGS else bad
 
 
 def _judged(docs: DataFrame, text: str, host: str, share: float, min_docs: int, left: float, texts_too: bool) -> tuple[DataFrame, dict[str, str]]:
