@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, pii, quality_rules, secret_scan, url_filter
+from . import exact_dedup, pii, quality_rules, secret_scan, source_mix, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": quality_rules.query,
         "op3_secret_scan": secret_scan.query,
         "op4_exact_dedup": exact_dedup.query,
+        "op5_source_mix": source_mix.query,
         "op10_pii": pii.query,
     }
 
@@ -24,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_url_filter": url_filter.SQL,
         "op2_quality_rules": quality_rules.SQL,
         "op4_exact_dedup": exact_dedup.SQL,
+        "op5_source_mix": source_mix.SQL,
     }
