@@ -111,7 +111,7 @@ def shard_of(shards: Column, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken, passes, cut_from, cut_words, row.
+    """One row per input row: doc_id, source, size, source_size, target, taken, passes, cut_from, cut_words, row.
 
     A document is taken `passes` times whole, and once more cut_words of its words from the word cut_from on (from the
     start again after its end); taken is the sum. Null texts and texts of white space have no words and are not taken. A
@@ -123,7 +123,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     if sources.count() <= BROADCAST_SOURCES:
         named = F.broadcast(named)
     placed = sized.join(named, F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", shard_of(F.col("shards"), seed))
-    placed = cut(placed.select("doc_id", "row", "size", "place", "source_size", "target", "shard", "blocks"))
+    placed = cut(placed.select("doc_id", "source", "row", "size", "place", "source_size", "target", "shard", "blocks"))
     shards = placed.groupBy("place", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
     shards = apportion(shards, "shard_size", "blocks", ["place"], ["shard"], "quota")
     n = F.greatest(F.lit(1).cast("long"), F.round(F.col("shard_size") / block).cast("long"))
@@ -138,7 +138,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     first, second = overlap(F.col("start"), F.col("end"), F.col("from"), F.col("to")), overlap(F.col("start"), F.col("end"), F.lit(0).cast("long"), F.col("wrapped"))
     cut_words = first + second
     return both.select(
-        "doc_id", "size", "source_size", "target",
+        "doc_id", "source", "size", "source_size", "target",
         (F.col("passes") * F.col("size") + cut_words).alias("taken"),
         "passes",
         F.when(first > 0, F.greatest(F.col("start"), F.col("from")) - F.col("start")).otherwise(0).cast("long").alias("cut_from"),
@@ -155,8 +155,13 @@ def mixed(docs: DataFrame, *, text: str = "text", size: str = "n_chars", **optio
     """The mix itself, with the columns of docs: a row for each whole pass over a document, and one for the part of its text
     that is taken beyond; `size`, if docs has it, is counted anew for parts."""
     full, names = aside(docs)
-    keyed = full.withColumn("row", F.monotonically_increasing_id())
-    plan = mix(docs, text=text, **options).where("taken > 0").select("row", "passes", "cut_from", "cut_words", F.col("size").alias("words"))
+    doc_id, source = names[options.get("doc_id", "doc_id")], names[options.get("source", "source")]
+    # rows are found again by id, source and words; of rows that agree in these, any may stand for any
+    keyed = full.withColumn("words", n_words(F.col(names[text])))
+    nth = F.row_number().over(Window.partitionBy(doc_id, source, "words").orderBy(F.xxhash64(names[text])))
+    keyed = keyed.withColumn("nth", nth)
+    plan = mix(docs, text=text, **options).withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("row"))).where("taken > 0")
+    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("nth").alias("_nth"), "passes", "cut_from", "cut_words")
     body = F.col(names[text])
     # words with the white space before them; few documents are cut, those at the ends of runs
     pieces = F.regexp_extract_all(body, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
@@ -165,7 +170,8 @@ def mixed(docs: DataFrame, *, text: str = "text", size: str = "n_chars", **optio
     part = F.concat(F.array_join(F.slice(pieces, (F.col("cut_from") + 1).cast("int"), ahead), ""), F.array_join(F.slice(pieces, 1, again), ""))
     entire = F.col("cut_words") == F.col("words")
     parts = F.when(F.col("cut_words") == 0, F.array().cast("array<string>")).otherwise(F.array(F.when(entire, body).otherwise(part)))
-    rows = keyed.join(plan, "row").withColumn("piece", F.explode(F.concat(F.array_repeat(body, F.col("passes").cast("int")), parts)))
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("words") == F.col("_size")) & (F.col("nth") == F.col("_nth"))
+    rows = keyed.join(plan, same).withColumn("piece", F.explode(F.concat(F.array_repeat(body, F.col("passes").cast("int")), parts)))
     new = {text: F.col("piece")}
     if size in docs.columns:
         new[size] = F.when(F.col("piece") == body, F.col(names[size])).otherwise(F.length("piece").cast(dict(docs.dtypes)[size]))
