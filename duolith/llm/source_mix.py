@@ -152,7 +152,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed(docs: DataFrame, *, text: str = "text", size: str = "n_chars", **options) -> DataFrame:
-    """The mix itself, with the columns of docs: a row for each whole pass over a document, and one for the part of its text
+    """The mix itself, with the columns of docs: a row for each whole pass over a document, and one for each part of its text
     that is taken beyond; `size`, if docs has it, is counted anew for parts."""
     full, names = aside(docs)
     doc_id, source = names[options.get("doc_id", "doc_id")], names[options.get("source", "source")]
@@ -167,9 +167,10 @@ def mixed(docs: DataFrame, *, text: str = "text", size: str = "n_chars", **optio
     pieces = F.regexp_extract_all(body, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     ahead = F.least(F.col("cut_words"), F.col("words") - F.col("cut_from")).cast("int")
     again = (F.col("cut_words") - ahead).cast("int")
-    part = F.concat(F.array_join(F.slice(pieces, (F.col("cut_from") + 1).cast("int"), ahead), ""), F.array_join(F.slice(pieces, 1, again), ""))
+    piece = lambda at, n: F.regexp_replace(F.array_join(F.slice(pieces, at, n), ""), rf"^{SPACES}", "")
+    part = F.filter(F.array(piece((F.col("cut_from") + 1).cast("int"), ahead), piece(F.lit(1), again)), lambda x: x != "")
     entire = F.col("cut_words") == F.col("words")
-    parts = F.when(F.col("cut_words") == 0, F.array().cast("array<string>")).otherwise(F.array(F.when(entire, body).otherwise(part)))
+    parts = F.when(F.col("cut_words") == 0, F.array().cast("array<string>")).when(entire, F.array(body)).otherwise(part)
     same = F.col(doc_id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("words") == F.col("_size")) & (F.col("nth") == F.col("_nth"))
     rows = keyed.join(plan, same).withColumn("piece", F.explode(F.concat(F.array_repeat(body, F.col("passes").cast("int")), parts)))
     new = {text: F.col("piece")}
