@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, pii, quality_rules, secret_scan, source_mix, url_filter
+from . import bpe, exact_dedup, pii, quality_rules, secret_scan, source_mix, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": exact_dedup.query,
         "op5_source_mix": source_mix.query,
         "op7_bpe": bpe.query,
+        "op8_warc": warc.query,
         "op10_pii": pii.query,
     }
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_rules": quality_rules.SQL,
         "op4_exact_dedup": exact_dedup.SQL,
         "op5_source_mix": source_mix.SQL,
+        "op8_warc": warc.SQL,
     }
