@@ -1,6 +1,9 @@
 """BPE encoding and decoding with a public tokenizer, by tree concatenation.
 
-A long text is halved until its pieces are short, the pieces are encoded side
+Where a blank or a line feed follows a character that is no white space, a word
+ends for certain, and a text is the sequence of what stands between. These
+short pieces repeat, so each worker encodes a piece once. A long text that can't
+be split so is halved until its parts are short, the parts are encoded side
 by side, and neighbours are joined from the leaves up. At a join only a window
 is encoded again: from a token boundary left of it that stands in the encoding
 of the whole too, to some characters right of it, growing until the window has
@@ -24,6 +27,7 @@ right half.
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -33,12 +37,23 @@ from pyspark.sql import functions as F
 
 from .common import aside, ddl, map_texts, read
 
-#: Texts of more characters are encoded as a tree with pieces of so many at most.
-LEAF = 1 << 15
+#: Unsplit texts of more characters are encoded as a tree with parts of so many at most.
+LEAF = 1 << 12
+#: Pieces that a worker remembers, and characters of the longest of them.
+REMEMBERED, SHORT = 1 << 19, 64
+#: Pieces that are encoded in a row.
+ROW = 512
 #: Characters right of a join in the first window; each next window has twice as many.
 REACH = 64
 
 
+#: White space of any kind before a blank or line feed; pieces where there is none; where pieces begin.
+_IRREGULAR = re.compile(r"\s[ \n]")
+_PIECE = re.compile(r"[ \n]?[^ \n]+")
+_INNER = re.compile(rf"[ \n]\S{{1,{SHORT - 1}}}")
+_BEFORE = re.compile(r"(?<=\S)(?=[ \n])")
+
+
 def default_tokenizer() -> str:
     """The file of the tokenizer of the contract."""
     import public_tokenizers
@@ -56,6 +71,8 @@ class Codec:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.ids: dict[str, bytes] = {}
+        self.texts: dict[str, str] = {}
         added = self.tokenizer.get_added_tokens_decoder()
         self.special = {t.content: i for i, t in added.items()}
         # bytes of each token; a character of a token's name is one byte
@@ -63,8 +80,60 @@ class Codec:
         for name, i in self.tokenizer.get_vocab().items():
             self.bytes[i] = len(name.encode()) if i in added else len(name)
 
-    def _encode(self, texts: list[str]) -> list:
-        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    def split(self, text: str) -> list[str]:
+        """Pieces that are encoded each by itself: a blank or line feed after other than white space begins one."""
+        if not _IRREGULAR.search(text) and sum(map(len, found := _PIECE.findall(text))) == len(text):
+            return found
+        return _BEFORE.split(text)
+
+    def learn(self, pieces: set[str]) -> None:
+        """Encode pieces, and decode their ids again, for `ids` and `texts`."""
+        if len(self.ids) > REMEMBERED:
+            self.ids.clear()
+            self.texts.clear()
+        new = [p for p in pieces if p not in self.ids]
+        # those that begin and end as pieces inside a text do are encoded many in a row: where one begins, the last one's tokens end
+        rows = [p for p in new if _INNER.fullmatch(p)]
+        alone = [*{*new}.difference(rows)]
+        for i in range(0, len(rows), ROW):
+            row = rows[i : i + ROW]
+            text = "".join(row)
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            if self.decode_batch([ids]) != [text] or any(s in text for s in self.special):
+                alone += row
+                continue
+            ends = np.cumsum(self.bytes[ids])
+            raw, cuts = np.array(ids, "<u4").tobytes(), (4 * np.searchsorted(ends, np.cumsum([len(p.encode()) for p in row])) + 4).tolist()
+            self.ids.update(zip(row, map(raw.__getitem__, map(slice, [0, *cuts], cuts))))
+            self.texts.update(zip(row, row))  # each piece decodes to itself, since the row does
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast([p if len(p) <= self.leaf else "" for p in alone], add_special_tokens=False)]
+        coded = [self.encode_long(p) if len(p) > self.leaf else c for p, c in zip(alone, coded, strict=True)]
+        for p, c, t in zip(alone, coded, self.decode_batch(coded), strict=True):
+            self.ids[p], self.texts[p] = np.array(c, "<u4").tobytes(), t
+
+    def forget_long(self, pieces: set[str]) -> None:
+        for p in pieces:
+            if len(p) > SHORT:
+                del self.ids[p], self.texts[p]
+
+    def round_trip(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+        """The ids of each text as little-endian unsigned 32-bit integers, and the text that they decode to.
+
+        A piece begins and ends between characters, so decoding is piece by piece, too.
+        """
+        split = [self.split(t) for t in texts]
+        pieces = {p for ps in split for p in ps}
+        self.learn(pieces)
+        ids = [b"".join(map(self.ids.__getitem__, ps)) for ps in split]
+        back = ["".join(map(self.texts.__getitem__, ps)) for ps in split]
+        self.forget_long(pieces)
+        return ids, back
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(x, "<u4").tolist() for x in self.round_trip(texts)[0]]
+
+    def decode_batch(self, ids: list[list[int]]) -> list[str]:
+        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
     def pieces(self, texts: list[str]) -> list[Piece]:
         out = []
@@ -76,19 +145,6 @@ class Codec:
     def piece(self, text: str) -> Piece:
         return self.pieces([text])[0]
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        short = [i for i, t in enumerate(texts) if len(t) <= self.leaf]
-        out: list[list[int]] = [[]] * len(texts)
-        for i, e in zip(short, self._encode([texts[i] for i in short]), strict=True):
-            out[i] = e.ids
-        for i, t in enumerate(texts):
-            if len(t) > self.leaf:
-                out[i] = self.encode_long(t)
-        return out
-
-    def decode_batch(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-
     def encode_long(self, text: str) -> list[int]:
         """Special tokens end a word for certain, so each part between them is a tree of its own."""
         parts, at = [], 0
@@ -240,11 +296,10 @@ def digests(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path
 
     def fn(texts: list[str]) -> dict[str, list]:
         c = codec(path, leaf)
-        ids = c.encode_batch(texts)
-        back = c.decode_batch(ids)
+        ids, back = c.round_trip(texts)
         return {
-            "n_tokens": [len(x) for x in ids],
-            "ids_sha256": [hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in ids],
+            "n_tokens": [len(x) // 4 for x in ids],
+            "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
             "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in back],
         }
 

@@ -23,6 +23,8 @@ def test_trees_are_exact(leaf, reach):
         else:  # one word that is longer than the pieces
             text = "".join(rng.choice(rng.choice(["abehtnr", "0123", "éßa", " ", "!?."])) for _ in range(1)) * rng.randrange(1, 60) + "".join(rng.choice("abehtnr") for _ in range(rng.randrange(0, 400)))
         assert codec.encode_long(text) == plain(codec, text), repr(text)
+        assert codec.encode_batch([text])[0] == plain(codec, text), repr(text)
+        assert codec.round_trip([text])[1] == [text]
 
 
 def test_long_unsplit_texts():
