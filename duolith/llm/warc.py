@@ -77,9 +77,11 @@ def write_archive(pages: DataFrame, path: str, *, page_id: str = "page_id", url:
     me, it = (record_id(F.col(f"{p}page_id"), F.col(f"{p}url"), F.col(f"{p}row"), F.col("sha1")) for p in ("", "first."))
     typed = of.withColumn("record_type", F.when(response, "response").otherwise("revisit")).withColumn("record_id", me).withColumn("refers_to_record", it).withColumn("refers_to", F.col("first.page_id"))
     typed.select("page_id", header(date).alias("header"), "sha256").write.parquet(f"{path}/headers")
-    # the rows of the firsts alone; rows that repeat an id with its payload are left to one
-    stored = rows.withColumn("sha256", key).alias("a").join(firsts.select("sha256", F.col("first.page_id").alias("first_id")).alias("b"), (F.col("a.sha256") == F.col("b.sha256")) & F.col("page_id").eqNullSafe(F.col("first_id")), "left_semi")
-    one = F.row_number().over(Window.partitionBy("sha256", "page_id").orderBy("url"))
+    # the rows of the firsts alone; of rows that repeat an id with its payload one. The join and the window have the same
+    # keys, so payloads are shuffled once
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    stored = rows.select(key.alias("sha256"), name("page_id").alias("id"), "url", "payload").join(firsts.select("sha256", name("first.page_id").alias("id")), ["sha256", "id"], "left_semi")
+    one = F.row_number().over(Window.partitionBy("sha256", "id").orderBy("url"))
     stored.withColumn("one", one).where("one = 1").select("sha256", "payload").write.parquet(f"{path}/payloads")
 
 
