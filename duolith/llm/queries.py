@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, pii, quality_rules, secret_scan, source_mix, url_filter, warc
+from . import bpe, exact_dedup, ngram_join, pii, quality_rules, secret_scan, source_mix, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_source_mix": source_mix.query,
         "op7_bpe": bpe.query,
         "op8_warc": warc.query,
+        "op9_ngram_join": ngram_join.query,
         "op10_pii": pii.query,
     }
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_dedup": exact_dedup.SQL,
         "op5_source_mix": source_mix.SQL,
         "op8_warc": warc.SQL,
+        "op9_ngram_join": ngram_join.SQL,
     }
