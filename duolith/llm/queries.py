@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, ngram_join, pii, quality_rules, secret_scan, source_mix, url_filter, warc
+from . import bpe, exact_dedup, ngram_join, pii, quality_rules, rule_ensemble, secret_scan, source_mix, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secret_scan": secret_scan.query,
         "op4_exact_dedup": exact_dedup.query,
         "op5_source_mix": source_mix.query,
+        "op6_rule_ensemble": rule_ensemble.query,
         "op7_bpe": bpe.query,
         "op8_warc": warc.query,
         "op9_ngram_join": ngram_join.query,
