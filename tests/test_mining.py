@@ -50,9 +50,10 @@ def test_trees(data):
     q = fit_tree(data.rows, ["n", "a"], parse("d=hi"), depth=2, flags=frozenset({"a"}))
     assert evaluate(data.rows, [(q, parse("d=hi"))]).first()["acc"] > 0.95
     assert fit_tree(data.rows, ["n"], parse("!!"), depth=2) is None
+    planted = evaluate(data.rows, [(parse("a & b"), parse("c"))]).first()["acc"]
     for method in ("cartwheel", "sprit", "split", "layered"):
         steps = alternate(data.rows, parse("c"), (["a", "b"], ["c"]), method=method, depth=2, rounds=6, flags=frozenset("abc"), side=0)
-        assert steps and steps[-1][1] > 0.85, method
+        assert steps and steps[-1][1] >= planted - 0.01, method
     assert pick_step([0.2, 0.895, 0.9]) == 1
 
 
