@@ -35,8 +35,8 @@ BANDS, ROWS = 32, 4
 #: MinHash values compared at a time, and the posterior probability below which a pair is dropped.
 STEP = 16
 TOLERANCE = 1e-9
-#: Members of a block of a bucket.
-BLOCK = 512
+#: Members of a block of a bucket, and n-grams of all of them (32 MB), so that a task holds two such blocks at most.
+BLOCK, BLOCK_GRAMS = 2048, 1 << 22
 #: The texts to verify are picked by a broadcast of up to so many ids (12 MB), and by a join beyond.
 BROADCAST_IDS = 500_000
 _RNG = np.random.default_rng(20240917)
@@ -180,7 +180,7 @@ def links(a: Members, b: Members, band: int, same: bool, threshold: float, least
 
 
 def profiles(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, text_hash, key (the digest of the set of n-grams) and values (MinHash values as bytes), both null without words. docs: doc_id, text."""
+    """doc_id, text_hash, grams, key (the digest of the set of n-grams) and values (MinHash values as bytes), both null without words. docs: doc_id, text."""
 
     def fn(texts: list[bytes]) -> dict[str, list]:
         sets = [shingles(t, n) for t in texts]
@@ -189,40 +189,40 @@ def profiles(docs: DataFrame, n: int = N) -> DataFrame:
         if filled:
             for i, v in zip(filled, minhash([sets[i] for i in filled]), strict=True):
                 values[i] = v.astype("<u4").tobytes()
-        return {"key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "values": values}
+        return {"grams": [len(s) for s in sets], "key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], "values": values}
 
     rows = docs.withColumn("text_hash", F.xxhash64("text"))
-    return map_texts(rows, fn, "key binary, values binary", keep=ddl(rows, "doc_id", "text_hash"), raw=True)
+    return map_texts(rows, fn, "grams int, key binary, values binary", keep=ddl(rows, "doc_id", "text_hash"), raw=True)
 
 
 def bands(leads: DataFrame) -> DataFrame:
-    """rep, band, hash: a row for each class and band. leads: rep, values."""
+    """rep, grams, band, hash: a row for each class and band. leads: rep, grams, values."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 values = np.frombuffer(b"".join(batch.column("values").to_pylist()), "<u4").reshape(batch.num_rows, -1)
-                rep = np.repeat(batch.column("rep").to_numpy(zero_copy_only=False), BANDS)
+                rep, grams = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), BANDS) for c in ("rep", "grams"))
                 band = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(band), pa.array(band_hashes(values).ravel())], names=["rep", "band", "hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(grams), pa.array(band), pa.array(band_hashes(values).ravel())], names=["rep", "grams", "band", "hash"])
 
-    return leads.select("rep", "values").mapInArrow(fn, "rep long, band int, hash long")
+    return leads.select("rep", "grams", "values").mapInArrow(fn, "rep long, grams int, band int, hash long")
 
 
 def buckets(entries: DataFrame) -> DataFrame:
-    """band, hash, n: buckets of two members or more; of those with the same members the one of the first band.
+    """band, hash, n, all_grams: buckets of two members or more; of those with the same members the one of the first band.
 
     Equal members are told by their number, the least and sums of two hashes. A pair's first common band is never left out
     so: a bucket with the same members in an earlier band would have the pair, too.
     """
     sums = [F.sum(F.xxhash64("rep", F.lit(i)) % (1 << 40)).alias(f"h{i}") for i in range(2)]
-    found = entries.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("rep").alias("low"), *sums).where("n > 1")
-    return found.groupBy("n", "low", "h0", "h1").agg(F.min(F.struct("band", "hash")).alias("b")).select("b.band", "b.hash", "n")
+    found = entries.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.sum("grams").alias("all_grams"), *sums).where("n > 1")
+    return found.groupBy("n", "all_grams", "low", "h0", "h1").agg(F.min(F.struct("band", "hash")).alias("b")).select("b.band", "b.hash", "n", "all_grams")
 
 
 def dealt(members: DataFrame, block: int) -> DataFrame:
-    """rep, band, hash, mine, p, q: the pairs of blocks p <= q of its bucket that each member (rep, band, hash, n) takes part in. mine: its block."""
-    k = F.ceil(F.col("n") / block).cast("int")
+    """rep, band, hash, mine, p, q: the pairs of blocks p <= q of its bucket that each member (rep, band, hash, n, all_grams) takes part in. mine: its block."""
+    k = F.ceil(F.greatest(F.col("n") / block, F.col("all_grams") / BLOCK_GRAMS)).cast("int")
     mine = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("k")).cast("int")
     placed = members.withColumn("k", k).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     return placed.select("rep", "band", "hash", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
@@ -258,11 +258,11 @@ def similar(rows: DataFrame, n: int, threshold: float, block: int, tolerance: fl
     least = least_matches(threshold, tolerance)
     every = cut(profiles(rows, n))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    leads = every.where("key IS NOT NULL").groupBy("key").agg(F.min(order).alias("lead"), F.first("values").alias("values"))
-    leads = cut(leads.select("key", "lead.doc_id", "lead.text_hash", "values", F.monotonically_increasing_id().alias("rep")))
+    leads = every.where("key IS NOT NULL").groupBy("key").agg(F.min(order).alias("lead"), F.first("values").alias("values"), F.first("grams").alias("grams"))
+    leads = cut(leads.select("key", "lead.doc_id", "lead.text_hash", "values", "grams", F.monotonically_increasing_id().alias("rep")))
     entries = bands(leads)
     kept = cut(buckets(entries))
-    members = dealt(entries.join(kept, ["band", "hash"]), block)
+    members = dealt(entries.select("rep", "band", "hash").join(kept, ["band", "hash"]), block)
 
     def living(band: int, same: bool, key: tuple, a: list[dict], b: list[dict]) -> Iterator[tuple]:
         x, y = (Members([r["rep"] for r in m], [r["values"] for r in m]) for m in (a, b))
@@ -336,7 +336,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = rf"""
 WITH RECURSIVE d AS MATERIALIZED (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents
 ), grams AS MATERIALIZED (
   SELECT DISTINCT doc_id, CASE WHEN len(w) < {N} THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + {N - 1}], ' ') END AS gram
   FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - {N - 2}))) AS i FROM d WHERE len(w) > 0)
