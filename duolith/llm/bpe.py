@@ -40,7 +40,7 @@ from .common import aside, ddl, map_texts, read
 #: Unsplit texts of more characters are encoded as a tree with parts of so many at most.
 LEAF = 1 << 12
 #: Pieces that a worker remembers, and characters of the longest of them.
-REMEMBERED, SHORT = 1 << 19, 64
+REMEMBERED, SHORT = 1 << 18, 64
 #: Pieces that are encoded in a row.
 ROW = 512
 #: Characters right of a join in the first window; each next window has twice as many.
@@ -89,8 +89,7 @@ class Codec:
     def learn(self, pieces: set[str]) -> None:
         """Encode pieces, and decode their ids again, for `ids` and `texts`."""
         if len(self.ids) > REMEMBERED:
-            self.ids.clear()
-            self.texts.clear()
+            self.forget()
         new = [p for p in pieces if p not in self.ids]
         # those that begin and end as pieces inside a text do are encoded many in a row: where one begins, the last one's tokens end
         rows = [p for p in new if _INNER.fullmatch(p)]
@@ -111,6 +110,10 @@ class Codec:
         for p, c, t in zip(alone, coded, self.decode_batch(coded), strict=True):
             self.ids[p], self.texts[p] = np.array(c, "<u4").tobytes(), t
 
+    def forget(self) -> None:
+        self.ids.clear()
+        self.texts.clear()
+
     def forget_long(self, pieces: set[str]) -> None:
         for p in pieces:
             if len(p) > SHORT:
@@ -266,7 +269,7 @@ def encode(docs: DataFrame, *, text: str = "text", path: str | None = None, out:
     """docs with the ids of each text. Null counts as empty; the tokenizer's file must be at the path on the executors."""
     path = path or default_tokenizer()
     full, names = aside(docs)
-    made = map_texts(full, lambda texts: {"ids": codec(path, leaf).encode_batch(texts)}, "ids array<int>", text=names[text], keep=ddl(full, *names.values()))
+    made = map_texts(full, lambda texts: {"ids": codec(path, leaf).encode_batch(texts)}, "ids array<int>", text=names[text], keep=ddl(full, *names.values()), done=lambda: codec(path, leaf).forget())
     return made.select(*(F.col(names[c]).alias(c) for c in docs.columns if c != out), F.col("ids").alias(out))
 
 
@@ -304,7 +307,7 @@ def digests(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path
         }
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return map_texts(rows, fn, DIGESTS, keep=ddl(rows, "doc_id"))
+    return map_texts(rows, fn, DIGESTS, keep=ddl(rows, "doc_id"), done=lambda: codec(path, leaf).forget())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

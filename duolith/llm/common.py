@@ -15,7 +15,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 #: A word of the contracts.
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python worker handles at once, unless one text alone has more.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,11 +47,11 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, fn: Callable[[list], dict[str, list]], schema: str, *, text: str = "text", args: tuple[str, ...] = (), keep: str = "", raw: bool = False) -> DataFrame:
+def map_texts(df: DataFrame, fn: Callable[[list], dict[str, list]], schema: str, *, text: str = "text", args: tuple[str, ...] = (), keep: str = "", raw: bool = False, done: Callable[[], None] | None = None) -> DataFrame:
     """Apply fn to lists of whole texts, and of the values of the columns in args, on the executors; a null text is empty.
 
     df holds the text column and the columns to keep (as DDL in `keep`); fn gives the further columns that `schema` names.
-    raw: fn gets UTF-8 bytes instead of str.
+    raw: fn gets UTF-8 bytes instead of str. done: called at the end of each task; Python workers live on and keep what modules hold.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -68,6 +68,8 @@ def map_texts(df: DataFrame, fn: Callable[[list], dict[str, list]], schema: str,
             made = fn(texts, *(part.column(a).to_pylist() for a in args))
             columns = [part.column(n) for n in kept_names] + [made[n] for n in names]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+        if done:
+            done()
 
     return df.mapInArrow(run, out)
 

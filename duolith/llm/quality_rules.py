@@ -89,7 +89,7 @@ def statistics(texts: list[bytes], bad: list[list[int] | None], texts_too: bool
         drop = {x for x in set(filled) if line_hash(x) in gone} if gone else set()
         removed.append(sum(len(x.split()) for x in filled if x in drop) if drop else 0)
         if texts_too:
-            cleaned.append((b"\n".join(x for x in lines if x not in drop) if drop else t).decode())
+            cleaned.append(b"\n".join(x for x in lines if x not in drop).decode() if drop else None)
     out = {
         "n_words": counts,
         "word_chars": sizes - per(_INNER) - per(_SPACE),
