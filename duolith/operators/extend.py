@@ -45,13 +45,13 @@ def score_extensions(parts: DataFrame, side: int, *, ops: Sequence[str] = ("and"
     The contribution is how many rows the literal takes from the union (and) or adds to the intersection (or).
     """
     inter, diff = TYPES[kind]
-    scored = None
-    for op in ops:
-        for neg in negations:
-            # what was in the union or intersection before
-            before = [F.sum(F.when(F.col("part").isin(*names), F.col("n_true") + F.col("n_false") + F.col("n_missing")).otherwise(0)).alias(f"old_{k}") for k, names in (("i", inter), ("u", inter + diff))]
-            rows = parts.groupBy("lit").agg(*moved_counts(op, side, neg), *before).withColumn("op", F.lit(op)).withColumn("neg", F.lit(neg))
-            scored = rows if scored is None else scored.unionByName(rows)
+    ways = [(op, neg) for op in ops for neg in negations]
+    every = F.col("n_true") + F.col("n_false") + F.col("n_missing")
+    before = [F.sum(F.when(F.col("part").isin(*names), every).otherwise(0)).alias(k) for k, names in (("old_i", inter), ("old_u", inter + diff))]
+    # all ways at once, so that the rows are read once
+    wide = parts.groupBy("lit").agg(*before, *(F.struct(*moved_counts(op, side, neg)).alias(f"w{k}") for k, (op, neg) in enumerate(ways)))
+    stacked = F.array(*(F.struct(F.lit(op).alias("op"), F.lit(neg).alias("neg"), *(F.col(f"w{k}.{p}").alias(p) for p in PARTS)) for k, (op, neg) in enumerate(ways)))
+    scored = wide.select("lit", "old_i", "old_u", F.explode(stacked).alias("w")).select("lit", "old_i", "old_u", "w.*")
     i, u = total(inter), total(inter) + total(diff)
     gain = F.when(F.col("op") == "and", F.col("old_u") - u).otherwise(i - F.col("old_i"))
     everything = total(PARTS)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..expressions import Node, length, to_column
-from ..functions.significance import pvalue_overlap, pvalue_support
+from ..functions.significance import binomial_tail, hypergeometric_tail, pvalue_overlap, pvalue_support
 
 PARTS = ("Exo", "Eox", "Exx", "Eoo", "Exm", "Emx", "Eom", "Emo", "Emm")
 # What counts as the intersection and what else counts in the union, by way of dealing with missing values. Fixed values.
@@ -112,6 +112,16 @@ def with_pvalues(counts: DataFrame, method: str = "over", kind: str = "none", le
     return counts.withColumn("pval", pvalue_support(size, n["N"], p * q))
 
 
+def measured(counts: Mapping[str, int], method: str = "over", kind: str = "none") -> dict[str, float]:
+    """n_inter, n_out and pval of one redescription from the counts of its parts, on the driver."""
+    inter, diff = TYPES[kind]
+    size = lambda names: sum(counts[p] for p in names)
+    n, i, u = size(PARTS), size(inter), size(inter + diff)
+    left, right = (size([p for p in inter + diff if p[s] == "x" or (p in inter and p[s] == "m")]) for s in (1, 2))
+    pval = hypergeometric_tail(i, n, left, right) if method == "over" else binomial_tail(i, n, left * right / (n * n) if n else 0.0)
+    return {"n_inter": i, "n_out": n - u, "pval": pval}
+
+
 def area(node: Node, size: Column) -> Column:
     """A query's length times the size of a support."""
     return F.lit(length(node)) * size

@@ -12,7 +12,7 @@ from ..expressions import Anon, Group, Literal, Node, length, literals, push_neg
 from ..operators import extend as X
 from ..operators import lsh as H
 from ..operators import select as S
-from ..operators.support import PARTS, evaluate, lengths, with_pvalues
+from ..operators.support import PARTS, evaluate, measured
 
 
 @dataclass(frozen=True)
@@ -89,10 +89,9 @@ def scored(data: Data, c: Constraints, pairs: Sequence[tuple[Node, Node]], chunk
     out = []
     for k in range(0, len(pairs), chunk):
         part = list(pairs[k : k + chunk])
-        n = lengths(c.parts_type)
-        counts = with_pvalues(evaluate(data.rows, part, c.parts_type), c.method_pval, c.parts_type)
-        for r in counts.select("pair", "acc", "pval", n["I"].alias("n_inter"), n["O"].alias("n_out"), *PARTS).collect():
-            out.append(item(part[r["pair"]], r.asDict()))
+        for r in evaluate(data.rows, part, c.parts_type).collect():
+            stats = {p: r[p] for p in PARTS}
+            out.append(item(part[r["pair"]], stats | {"acc": r["acc"]} | measured(stats, c.method_pval, c.parts_type)))
     return S.sort(out, S.BEST_FIRST)
 
 
@@ -124,12 +123,12 @@ def expand(data: Data, c: Constraints, start: dict, seen: X.Seen | None = None)
                     parts, side, ops=X.allowed_ops(query, x["queries"][1 - side], c.ops_query, c.single_side_or), negations=(False, True) if c.neg_query else (False,),
                     kind=c.parts_type, min_in=c.of("min_itm_in", data.n), min_out=c.of("min_itm_out", data.n), min_contribution=c.of("min_itm_c", data.n),
                 )
-                n = lengths(c.parts_type)
-                best = with_pvalues(options.where(F.col("acc") > x["acc"] + c.min_impr).orderBy(F.desc("acc"), "lit", "op", "neg").limit(c.batch_cap), c.method_pval, c.parts_type)
-                for r in best.select("lit", "op", "neg", "acc", "pval", n["I"].alias("n_inter"), n["O"].alias("n_out"), *PARTS).collect():
+                best = options.where(F.col("acc") > x["acc"] + c.min_impr).orderBy(F.desc("acc"), "lit", "op", "neg").limit(c.batch_cap)
+                for r in best.collect():
                     queries = X.apply_extension(x["queries"], side, r["op"], free[r["lit"]], r["neg"])
                     if seen.add(queries):
-                        made.append(item(queries, {k: v for k, v in r.asDict().items() if k not in ("lit", "op", "neg")}))
+                        stats = {p: r[p] for p in PARTS}
+                        made.append(item(queries, stats | {"acc": r["acc"]} | measured(stats, c.method_pval, c.parts_type)))
         found += made
         beam = S.cut(S.sort(made, [("acc", True)]), c.batch_cap)
     return S.partial(c.of("min_itm_out", data.n), c.of("min_itm_in", data.n), c.max_fin_pval, c.batch_out)(found)

@@ -11,7 +11,7 @@ from duolith.operators import graph as G
 from duolith.operators import literals as L
 from duolith.operators import lsh as H
 from duolith.operators import pairs as P
-from duolith.operators.support import PARTS, TYPES, evaluate, lengths, negate_parts, part, transition, with_pvalues
+from duolith.operators.support import PARTS, TYPES, evaluate, lengths, measured, negate_parts, part, transition, with_pvalues
 
 
 @pytest.fixture(scope="module")
@@ -86,7 +86,10 @@ def test_pvalues(nine):
         assert binomial_tail(k, n, p) == pytest.approx(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1)))
     counts = evaluate(nine, [(Bool("l"), Bool("r"))])
     for method in ("over", "marg"):
-        assert 0 <= with_pvalues(counts, method).first()["pval"] <= 1
+        for kind in ("none", "optimistic"):
+            row = evaluate(nine, [(Bool("l"), Bool("r"))], kind).first()
+            mine = measured(row.asDict(), method, kind)
+            assert with_pvalues(counts, method, kind).first()["pval"] == pytest.approx(mine["pval"]) and 0 <= mine["pval"] <= 1
     assert 0 <= with_pvalues(counts, "supp", "none", F.lit(0.5), F.lit(0.5)).first()["pval"] <= 1
 
 
