@@ -59,6 +59,30 @@ def score_extensions(parts: DataFrame, side: int, *, ops: Sequence[str] = ("and"
     return out.where((i >= min_in) & (everything - u >= min_out) & (F.col("contribution") >= min_contribution)).drop("old_i", "old_u")
 
 
+def score_rows(rows: Sequence, side: int, *, ops: Sequence[str] = ("and", "or"), negations: Sequence[bool] = (False, True), kind: str = "none", min_in: int = 1, min_out: int = 0, min_contribution: int = 1) -> list[dict]:
+    """score_extensions on the driver, from the collected rows of literal_parts: nine for each candidate at most."""
+    inter, diff = TYPES[kind]
+    table: dict[int, dict[str, tuple[int, int, int]]] = {}
+    for r in rows:
+        table.setdefault(r["lit"], {})[r["part"]] = (r["n_true"], r["n_false"], r["n_missing"])
+    moves = {(op, holds): transition(op, side, holds) for op in ops for holds in (True, False, None)}
+    size = lambda counts, names: sum(counts.get(p, 0) for p in names)
+    out = []
+    for lit, parts in sorted(table.items()):
+        old = {p: sum(n) for p, n in parts.items()}
+        for op in ops:
+            for neg in negations:
+                new = dict.fromkeys(PARTS, 0)
+                for p, (true, false, missing) in parts.items():
+                    for holds, n in ((True, false if neg else true), (False, true if neg else false), (None, missing)):
+                        new[moves[op, holds][p]] += n
+                i, u = size(new, inter), size(new, inter + diff)
+                gain = size(old, inter + diff) - u if op == "and" else i - size(old, inter)
+                if i >= min_in and sum(new.values()) - u >= min_out and gain >= min_contribution:
+                    out.append(new | {"lit": lit, "op": op, "neg": neg, "acc": i / u if u else (float("inf") if i else 0.0), "contribution": gain})
+    return out
+
+
 def weighted_score(acc: Column, base: float, pval: Column | None = None, *, impacc: float = 1.0, rel_impacc: float = 0.0, max_pval: float = 0.0, penalty: float = 0.0) -> Column:
     """Gain in accuracy, absolute and relative, less a penalty: a fixed one above max_pval if that is positive, or its size times the p-value."""
     gain = acc - base

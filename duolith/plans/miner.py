@@ -118,13 +118,13 @@ def expand(data: Data, c: Constraints, start: dict, seen: X.Seen | None = None)
                 free = [y for y in data.literals[side] if y.var not in used]
                 if length(query) >= most or not free:
                     continue
-                parts = X.literal_parts(data.rows, *x["queries"], free)
-                options = X.score_extensions(
-                    parts, side, ops=X.allowed_ops(query, x["queries"][1 - side], c.ops_query, c.single_side_or), negations=(False, True) if c.neg_query else (False,),
+                options = X.score_rows(
+                    X.literal_parts(data.rows, *x["queries"], free).collect(), side,
+                    ops=X.allowed_ops(query, x["queries"][1 - side], c.ops_query, c.single_side_or), negations=(False, True) if c.neg_query else (False,),
                     kind=c.parts_type, min_in=c.of("min_itm_in", data.n), min_out=c.of("min_itm_out", data.n), min_contribution=c.of("min_itm_c", data.n),
                 )
-                best = options.where(F.col("acc") > x["acc"] + c.min_impr).orderBy(F.desc("acc"), "lit", "op", "neg").limit(c.batch_cap)
-                for r in best.collect():
+                better = [r for r in options if r["acc"] > x["acc"] + c.min_impr]
+                for r in sorted(better, key=lambda r: (-r["acc"], r["lit"], r["op"], r["neg"]))[: c.batch_cap]:
                     queries = X.apply_extension(x["queries"], side, r["op"], free[r["lit"]], r["neg"])
                     if seen.add(queries):
                         stats = {p: r[p] for p in PARTS}

@@ -58,7 +58,11 @@ def test_extension_scores_are_those_of_the_new_queries(spark):
     df = spark.createDataFrame(list(zip(range(300), pick(), pick(), pick())), "rid long, a boolean, b boolean, c boolean")
     for kind in ("rejective", "optimistic", "negative"):
         parts = X.literal_parts(df, Bool("a"), Bool("b"), [Bool("c")])
-        for r in X.score_extensions(parts, 1, kind=kind, min_contribution=-1000).collect():
+        rows = X.score_extensions(parts, 1, kind=kind, min_contribution=-1000).collect()
+        own = X.score_rows(parts.collect(), 1, kind=kind, min_contribution=-1000)
+        key = lambda r: (r["lit"], r["op"], r["neg"], r["contribution"], *(r[p] for p in PARTS))
+        assert sorted(map(key, rows)) == sorted(map(key, own))
+        for r in rows:
             new = X.apply_extension((Bool("a"), Bool("b")), 1, r["op"], Bool("c"), r["neg"])
             want = evaluate(df, [new], kind).first()
             assert r["acc"] == pytest.approx(want["acc"]) and all(r[p] == want[p] for p in PARTS)
