@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.settle import settled
+
 BOOLEAN, CATEGORICAL, NUMERICAL = 1, 2, 3
 #: Order in which a kind is tried for a column of strings.
 CASCADE = (BOOLEAN, NUMERICAL, CATEGORICAL)
@@ -40,13 +42,14 @@ def numbered(df: DataFrame, rid: str = "rid", order: Sequence[str] = ()) -> Data
     Counts of the partitions, one number each, give the offsets, so that no task sees all rows.
     """
     df = df.orderBy(*order) if order else df
-    placed = df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    # a second sort may cut its partitions elsewhere, so the first one is kept
+    placed = settled(df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
     sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
     starts, total = {}, 0
     for part in sorted(sizes):
         starts[part], total = total, total + sizes[part]
     if not starts:
-        return df.withColumn(rid, F.lit(None).cast("long"))
+        return placed.drop("_part", "_at").withColumn(rid, F.lit(None).cast("long"))
     offsets = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])
     # monotonically increasing ids hold the place in the partition in their lower 33 bits
     return placed.withColumn(rid, (F.element_at(offsets, F.col("_part")) + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_part", "_at")

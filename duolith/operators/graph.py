@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.settle import settled
+
 
 def cohesion(edges: DataFrame, inside: DataFrame, rid: str = "rid") -> DataFrame:
     """n_inner, n_outer, cohesion: of the edges (a, b) with an end in the support (rid), the share with both."""
@@ -32,13 +34,13 @@ def grid_edges(points: DataFrame, reach: float, rid: str = "rid", x: str = "x",
 def connected_components(edges: DataFrame, most: int = 100) -> DataFrame:
     """node, component: the least node that each can be reached from. Labels are handed on and jump to their label's label, so that the
     rounds grow with the logarithm of a component's diameter; each round is written to the checkpoint folder."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label").checkpoint()
+    both = settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = settled(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label"))
     for _ in range(most):
         around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         passed = labels.join(around, labels.node == around.a).select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jumps = passed.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        new = passed.join(jumps, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label"), "old").checkpoint()
+        new = settled(passed.join(jumps, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label"), "old"))
         changed = new.where("label <> old").limit(1).count()
         labels = new.select("node", "label")
         if not changed:
@@ -48,11 +50,11 @@ def connected_components(edges: DataFrame, most: int = 100) -> DataFrame:
 
 def hop_distances(edges: DataFrame, start: Column, most: int = 100) -> DataFrame:
     """node, hops: the length of the shortest way from the nodes where `start` (on the column node) holds; others aren't listed."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    seen = both.select(F.col("a").alias("node")).distinct().where(start).withColumn("hops", F.lit(0)).checkpoint()
+    both = settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    seen = settled(both.select(F.col("a").alias("node")).distinct().where(start).withColumn("hops", F.lit(0)))
     rim = seen
     for k in range(1, most + 1):
-        rim = both.join(rim, both.a == rim.node).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(k)).checkpoint()
+        rim = settled(both.join(rim, both.a == rim.node).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(k)))
         if not rim.head(1):
             break
         seen = seen.unionByName(rim)

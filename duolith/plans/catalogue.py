@@ -19,8 +19,10 @@ from ..operators import itemsets as I
 from ..operators import literals as L
 from ..operators import lsh as H
 from ..operators import pairs as P
+from ..operators import select as S
 from ..operators.align import CATEGORICAL, align, cells, matrix, row_and_column_sums, subset, trait_means, weighted
 from ..operators.support import PARTS, TYPES, accuracy, area, default_type, evaluate, lengths, overlap, part, support, supports_per_branch, with_pvalues
+from ..sources import tables as T_
 from . import miner as M
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -475,6 +477,51 @@ def support_cohesion() -> tuple[Query, str]:
       c AS (SELECT count(*) FILTER (p AND q) AS n_inner, count(*) FILTER (p <> q) AS n_outer FROM e) SELECT *, CASE WHEN n_inner + n_outer > 0 THEN n_inner / (n_inner + n_outer) ELSE 0.0 END AS cohesion FROM c"""
 
 
+def neighbour_components() -> tuple[Query, str]:
+    """Customers with numbers in a row and the same market segment hang together."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        c = s.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_mktsegment")
+        a = c.select(F.col("c_custkey").alias("a"), F.col("c_mktsegment").alias("m"))
+        b = c.select(F.col("c_custkey").alias("b"), (F.col("c_custkey") - 1).alias("a"), F.col("c_mktsegment").alias("m"))
+        return G.connected_components(a.join(b, ["a", "m"]).select("a", "b"))
+
+    return run, """WITH o AS (SELECT c_custkey AS k, c_custkey - row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS run, c_mktsegment AS m FROM customer),
+      g AS (SELECT k AS node, min(k) OVER (PARTITION BY m, run) AS component, count(*) OVER (PARTITION BY m, run) AS n FROM o) SELECT node, component FROM g WHERE n > 1"""
+
+
+def sparse_triples() -> tuple[Query, str]:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        return T_.to_sparse(sides(s, d).select("rid", "status", "priority_m", "returned", "open_m"), "rid")
+
+    rows = " UNION ALL ".join(f"SELECT rid AS id, '{c}' AS cid, {c}::VARCHAR AS value FROM t WHERE {c} IS NOT NULL" for c in ("status", "priority_m", "returned", "open_m"))
+    return run, T + rows
+
+
+def cut_with_ties() -> tuple[Query, str]:
+    """The literals of the right side by the size of their support in tens of rows: the first four, without a tie that the limit cuts."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        sizes = _literal_supports(s, d).groupBy("side", "lit").agg((F.count("*") / 500).cast("long").alias("size")).withColumn("id", F.col("side") * 100 + F.col("lit"))
+        return S.cut_frame(sizes, 4, [F.desc("size")], -1)
+
+    sql = """, z AS (SELECT side, lit, trunc(count(*) / 500)::BIGINT AS size, side * 100 + lit AS id FROM s GROUP BY side, lit), r AS (SELECT *, rank() OVER (ORDER BY size DESC) AS k, count(*) OVER (PARTITION BY size) AS ties FROM z)
+      SELECT side, lit, size, id FROM r WHERE k + ties - 1 <= 4"""
+    return run, T + _SUPPORTS + sql
+
+
+def learn_test_accuracy() -> tuple[Query, str]:
+    """Accuracy on the rows of a learn set and of the test set that is left."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        rows = sides(s, d)
+        learn = evaluate(rows, [(LEFT, RIGHT)], restrict=F.col("rid") % 4 != 0).select(F.lit("learn").alias("rset"), *PARTS[:4], "acc")
+        return learn.unionByName(evaluate(rows, [(LEFT, RIGHT)], restrict=F.col("rid") % 4 == 0).select(F.lit("test").alias("rset"), *PARTS[:4], "acc"))
+
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS rset, Exo, Eox, Exx, Eoo, Exx::DOUBLE / (Exx + Exo + Eox) AS acc FROM ({counts_sql(LEFT, RIGHT, w)})" for n, w in (("learn", "rid % 4 <> 0"), ("test", "rid % 4 = 0")))
+    return run, T + rows
+
+
 def itemset_redescriptions() -> tuple[Query, str]:
     def run(s: SparkSession, d: str) -> DataFrame:
         out = I.mine(I.transactions(sides(s, d), LEFTS[:8], RIGHTS[:4]), 0.05, max_length=(1, 1), min_jaccard=0.1)
@@ -565,6 +612,10 @@ _ALL: dict[str, Callable[[], tuple[Query, str | None]]] = {
     "variable_matrix": variable_matrix,
     "initial_literals": initial_literals,
     "support_cohesion": support_cohesion,
+    "neighbour_components": neighbour_components,
+    "sparse_triples": sparse_triples,
+    "cut_with_ties": cut_with_ties,
+    "learn_test_accuracy": learn_test_accuracy,
     "itemset_redescriptions": itemset_redescriptions,
     "mined_redescriptions": mined_redescriptions,
     "tree_redescriptions": tree_redescriptions,
