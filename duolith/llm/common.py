@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the contracts, as a Java and Python character class. `bytes.split()` splits at the same characters.
@@ -89,3 +89,23 @@ def aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """df with its columns under names that clash with no others, and those names by the old ones."""
     names = {c: f"_c{i}" for i, c in enumerate(df.columns)}
     return df.toDF(*names.values()), names
+
+
+#: A table of the rows that stay is broadcast up to so many rows of a few longs (about 16 MB), and joined by its keys beyond.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, cut, and marked for a broadcast if its rows are few; else the join shuffles both sides."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def one_of_each(found: DataFrame, keys: list[str], twins: str, columns: list[str]) -> DataFrame:
+    """The columns of found, whose column `twins` tells how many rows have a row's keys: of rows with equal keys one stays.
+
+    Only where there are such rows a window over them is planned, so that texts aren't shuffled for it.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.lit(0))
+    rest = found.where(F.col(twins) > 1).withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
+    return found.where(F.col(twins) == 1).select(*columns).unionByName(rest.select(*columns))

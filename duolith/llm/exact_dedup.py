@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, read, whole
+from .common import SPACES, aside, cut, one_of_each, read, small, whole
 
 #: A digest is frequent if it holds at least this share of the rows.
 SHARE = 1 / 4096
@@ -74,14 +74,17 @@ def exact_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
     """docs without all rows but the first of each group of equal texts."""
-    columns = docs.columns
-    kept = exact_dedup(docs, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
-    doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
-    full = docs.withColumn("_digest", F.sha2(F.regexp_replace(whole(text), SPACES, " "), 256)).withColumn("_id", F.col(doc_id))
-    # the keys of kept are unique; of rows that repeat both the id and the text, one stays
-    one = Window.partitionBy("_digest", "_id").orderBy("_digest")
-    found = full.alias("a").join(kept.alias("b"), (F.col("a._digest") == F.col("b._digest")) & F.col("a._id").eqNullSafe(F.col("b._id")), "left_semi")
-    return found.withColumn("_one", F.row_number().over(one)).where("_one = 1").select(*columns)
+    full, names = aside(docs)
+    doc_id, text = names[options.get("doc_id", "doc_id")], names[options.get("text", "text")]
+    # a row is found again by id and digest; how many rows agree in both tells if one of several must be picked
+    same = exact_dedup(docs, **options).groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("twins"))
+    kept = small(same.where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"), "twins"))
+    keyed = full.withColumn("digest", F.unhex(F.sha2(F.regexp_replace(whole(text), SPACES, " "), 256)))
+    found = keyed.join(kept, (F.col("digest") == F.col("_digest")) & F.col(doc_id).eqNullSafe(F.col("_id")))
+    columns = list(names.values())
+    if kept.where("twins > 1").head(1):
+        return one_of_each(found, ["_digest", "_id"], "twins", columns).toDF(*docs.columns)
+    return found.select(*columns).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,10 +23,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, aside, cut, ddl, map_texts, read
+from .common import SPACES, aside, cut, ddl, map_texts, one_of_each, read, small
 from .components import components
 
 N = 5
@@ -320,14 +320,20 @@ def drop_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     full, names = aside(docs)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     every = similar(rows, n, threshold, block, tolerance)
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    first = every.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
+    same = every.where("root IS NOT NULL").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("twins"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "twins")
+    first = same.groupBy("root").agg(F.min(order).alias("k"))
+    first = small(first.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"), F.col("k.twins").alias("twins")))
     body = F.coalesce(F.col(names[text]), F.lit(""))
-    keyed = full.withColumn("text_hash", F.xxhash64(body)).withColumn("empty", F.length(F.regexp_replace(body, SPACES, "")) == 0)
-    found = keyed.where("NOT empty").join(first, F.col(names[doc_id]).eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-    one = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_hash"))  # of rows that repeat id and text
-    kept = found.withColumn("one", one).where("one = 1").select(*names.values()).unionByName(keyed.where("empty").select(*names.values()))
-    return kept.toDF(*docs.columns)
+    keyed = full.withColumn("text_hash", F.xxhash64(body))
+    found = keyed.join(first, F.col(names[doc_id]).eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    columns = list(names.values())
+    if first.where("twins > 1").head(1):
+        kept = one_of_each(found, ["_id", "_hash"], "twins", columns)
+    else:
+        kept = found.select(*columns)
+    empty = full.where(F.length(F.regexp_replace(F.coalesce(F.col(names[text]), F.lit("")), SPACES, "")) == 0)
+    return kept.unionByName(empty.select(*columns)).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, aside, cut, read
+from .common import SPACES, aside, cut, read, small
 
 WEIGHTS = (5, 2, 1)
 #: The mix has this share of all words.
@@ -157,11 +157,16 @@ def mixed(docs: DataFrame, *, text: str = "text", size: str = "n_chars", **optio
     full, names = aside(docs)
     doc_id, source = names[options.get("doc_id", "doc_id")], names[options.get("source", "source")]
     # rows are found again by id, source and words; of rows that agree in these, any may stand for any
+    keys = ["doc_id", "source", "size"]
+    plan = mix(docs, text=text, **options)
+    of = Window.partitionBy(*keys)
+    plan = cut(plan.withColumn("nth", F.row_number().over(of.orderBy("row"))).withColumn("twins", F.count("*").over(of)).where("taken > 0"))
     keyed = full.withColumn("words", n_words(F.col(names[text])))
-    nth = F.row_number().over(Window.partitionBy(doc_id, source, "words").orderBy(F.xxhash64(names[text])))
-    keyed = keyed.withColumn("nth", nth)
-    plan = mix(docs, text=text, **options).withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("row"))).where("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("nth").alias("_nth"), "passes", "cut_from", "cut_words")
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("words") == F.col("_size"))
+    if plan.where("twins > 1").head(1):
+        keyed = keyed.withColumn("nth", F.row_number().over(Window.partitionBy(doc_id, source, "words").orderBy(F.xxhash64(names[text]))))
+        same &= F.col("nth") == F.col("_nth")
+    plan = small(plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("nth").alias("_nth"), "passes", "cut_from", "cut_words"))
     body = F.col(names[text])
     # words with the white space before them; few documents are cut, those at the ends of runs
     pieces = F.regexp_extract_all(body, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
@@ -171,7 +176,6 @@ def mixed(docs: DataFrame, *, text: str = "text", size: str = "n_chars", **optio
     part = F.filter(F.array(piece((F.col("cut_from") + 1).cast("int"), ahead), piece(F.lit(1), again)), lambda x: x != "")
     entire = F.col("cut_words") == F.col("words")
     parts = F.when(F.col("cut_words") == 0, F.array().cast("array<string>")).when(entire, F.array(body)).otherwise(part)
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("words") == F.col("_size")) & (F.col("nth") == F.col("_nth"))
     rows = keyed.join(plan, same).withColumn("piece", F.explode(F.concat(F.array_repeat(body, F.col("passes").cast("int")), parts)))
     new = {text: F.col("piece")}
     if size in docs.columns:

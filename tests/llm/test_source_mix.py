@@ -93,6 +93,16 @@ def test_the_mix_has_the_words_that_the_plan_takes(docs):
     assert dict(got) == {k: v for k, v in plan.items() if v}
 
 
+def test_rows_that_agree_are_told_apart(spark):
+    rows = [(1, " ".join(f"{k}.{j}" for j in range(40)), s, 0) for k in range(12) for s in "ab"] + [(i, " ".join(f"{i}.{j}" for j in range(25)), "b", 0) for i in range(50, 90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(3)
+    taken = sum(r.taken for r in mix(df).collect())
+    out = mixed(df).collect()
+    assert sum(len(r.text.split()) for r in out) == taken
+    whole = Counter(r.text for r in out if r.doc_id == 1 and len(r.text.split()) == 40 and r.source == "b")
+    assert max(whole.values(), default=0) <= 2
+
+
 def test_empty_tables(spark):
     schema = "doc_id long, text string, source string, n_chars long"
     for rows in ([], [(1, None, "a", 0), (2, "", None, 0)]):
