@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..expressions import Anon, Group, Literal, Node, length, literals, push_negation, show, to_column
+from ..expressions import Literal, Node, length, literals, show, to_column
 from ..operators import extend as X
 from ..operators import lsh as H
 from ..operators import select as S
@@ -154,11 +154,3 @@ def normalized(x: dict) -> dict:
 
     queries = tuple(normalize(q) for q in x["queries"])
     return x | {"queries": queries, "left": show(queries[0]), "right": show(queries[1]), "length": sum(map(length, queries))}
-
-
-def has_holes(queries: tuple[Node, Node]) -> bool:
-    return any(isinstance(x, Anon) for q in queries for x in literals(q))
-
-
-def is_plain(query: Node) -> bool:
-    return not isinstance(push_negation(query), Group)

@@ -134,7 +134,3 @@ def derived(item: dict, expression: str):
 
 def shown(value, what: str):
     return round(value, DIGITS[what]) if isinstance(value, float) and what in DIGITS and math.isfinite(value) else value
-
-
-def query_text(node: Node, style: str = "text") -> str:
-    return show(node, style)
