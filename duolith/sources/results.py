@@ -10,7 +10,7 @@ from dataclasses import asdict, is_dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..expressions import Node, parse, show
+from ..expressions import parse, show
 from ..operators.support import PARTS
 
 COLUMNS = ("rid", "query_LHS", "query_RHS", "query_COND", "acc", "pval", *(f"card_{p}" for p in PARTS))
