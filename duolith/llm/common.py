@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -47,6 +49,13 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             yield batch.slice(start)
 
 
+def release() -> None:
+    """Give free memory back at the end of a task: Python workers live on, and beside them the next stage needs it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_texts(df: DataFrame, fn: Callable[[list], dict[str, list]], schema: str, *, text: str = "text", args: tuple[str, ...] = (), keep: str = "", raw: bool = False, done: Callable[[], None] | None = None) -> DataFrame:
     """Apply fn to lists of whole texts, and of the values of the columns in args, on the executors; a null text is empty.
 
@@ -70,6 +79,7 @@ def map_texts(df: DataFrame, fn: Callable[[list], dict[str, list]], schema: str,
             yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
         if done:
             done()
+        release()
 
     return df.mapInArrow(run, out)
 

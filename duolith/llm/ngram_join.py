@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, aside, cut, ddl, map_texts, one_of_each, read, small
+from .common import SPACES, aside, cut, ddl, map_texts, one_of_each, read, release, small
 from .components import components
 
 N = 5
@@ -238,7 +238,7 @@ def by_block_pair(rows: DataFrame, fn: Callable[[int, bool, tuple, list[dict], l
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in b.to_pylist())
+        rows = (r for b in batches for at in range(0, b.num_rows, 256) for r in b.slice(at, 256).to_pylist())
         made: list[tuple] = []
         for key, group in groupby(rows, key=lambda r: tuple(r[k] for k in keys)):
             members = list({(r["rep"]): r for r in group}.values())  # a row may come twice if its document does
@@ -249,6 +249,7 @@ def by_block_pair(rows: DataFrame, fn: Callable[[int, bool, tuple, list[dict], l
                 made = []
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), out)], schema=out)
+        release()
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
