@@ -150,7 +150,7 @@ def redact(docs: DataFrame, *, text: str = "text", mark: str = "[SECRET]", allow
                     parts += [t[at:a], mark]
                 at = max(at, b)
             out.append("".join(parts) + t[at:] if parts else t)
-        return {"_redacted": out}
+        return {"redacted": out}
 
     full, names = aside(docs)
     made = map_texts(full, fn, "redacted string", text=names[text], keep=ddl(full, *names.values()))
