@@ -1,16 +1,20 @@
 """Secret scans: fixed patterns, and windows of high entropy in long candidate strings.
 
 Beside the patterns, each run of 20 or more characters that keys are made of
-is a candidate of the narrowest class that holds it (hex digits, letters and
-digits, base64). A window slides over it; the counts of its characters, and
+is a candidate of the narrowest class that holds it (hex digits, lower-case or
+upper-case letters and digits, letters and digits, base64). Where it has
+more than letters of one case and digits, its long runs of those are
+candidates, too. A window slides over each; the counts of its characters, and
 from them the sum of n log n, change by one character in and one out, so the
 entropy of each window costs the same however wide it is. Windows at or above
-the class's limit make a span, unless the allow-list knows the string.
+the class's limit make a span, unless the allow-list knows the string. What the
+patterns found is taken out of the spans.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 from math import log2
 
@@ -26,25 +30,33 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,6}")
+#: Runs in a candidate that are candidates themselves.
+RUN = re.compile(r"[0-9a-z]{20,}|[0-9A-Z]{20,}")
 WINDOW = 20
 
 
 @dataclass(frozen=True)
 class CharClass:
-    """A class of candidate strings, the entropy in bits that a window must reach, and the kinds of characters that it must have."""
+    """A class of candidate strings, the entropy in bits that a window must reach, the kinds of characters that it must have, and what is no key of it."""
 
     name: str
     fits: re.Pattern
     bits: float
     needs: tuple[re.Pattern, ...] = ()
+    words: re.Pattern | None = None
 
 
 _DIGIT, _UPPER, _LOWER = re.compile("[0-9]"), re.compile("[A-Z]"), re.compile("[a-z]")
+#: Words and numbers, and words with a short number at the end.
+_WORDS = re.compile(r"[+/_=-]*+(?:(?:[A-Za-z]++[0-9]{0,4}+|[0-9]++)(?:[+/_=-]++|\Z))*+")
 CLASSES = (
     CharClass("hex", re.compile(r"[0-9a-fA-F]+={0,2}"), 3.0, (_DIGIT, re.compile("[a-fA-F]"))),
+    CharClass("lower", re.compile(r"[0-9a-z]+={0,2}"), 3.4, (_DIGIT, _LOWER), _WORDS),
+    CharClass("upper", re.compile(r"[0-9A-Z]+={0,6}"), 3.2, (_DIGIT, _UPPER), _WORDS),
     CharClass("alnum", re.compile(r"[0-9A-Za-z]+={0,2}"), 3.6, (_DIGIT, _UPPER, _LOWER)),
-    CharClass("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.8, (_DIGIT, _UPPER, _LOWER)),
+    CharClass("base64", re.compile(r"[A-Za-z0-9+/_=-]*[A-Z][A-Za-z0-9+/_=-]*"), 3.8, (_DIGIT, _UPPER, _LOWER)),
+    CharClass("parts", re.compile(r"[A-Za-z0-9+/_=-]+"), 4.0, (_DIGIT, re.compile("[A-Za-z]")), _WORDS),
 )
 
 
@@ -70,7 +82,7 @@ def windows(text: str, bits: float, width: int = WINDOW) -> list[tuple[int, int]
     """The parts of text that windows with at least so many bits of entropy cover. A window's entropy is log2(w) - sum(n log2 n) / w."""
     width = min(width, len(text))
     most = width * (log2(width) - bits) + 1e-9  # of the sum
-    term = [0.0, *(n * log2(n) for n in range(1, width + 1))]
+    term = [0.0, *(n * log2(n) for n in range(1, width + 2))]  # a character comes in before one goes out
     counts: dict[str, int] = {}
     total, found = 0.0, []
     for i, c in enumerate(text):
@@ -97,19 +109,42 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return spans + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
+def class_of(string: str) -> CharClass | None:
+    """The narrowest class with the kinds of characters that the string has, unless the string is no key of it."""
+    kind = next((k for k in CLASSES if k.fits.fullmatch(string) and all(p.search(string) for p in k.needs)), None)
+    return None if kind is None or kind.words and kind.words.fullmatch(string) else kind
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def entropy_spans(text: str, known: list[tuple[int, int, str]], allow: AllowList) -> list[tuple[int, int, str]]:
-    """Spans of high entropy that don't overlap the known ones."""
-    out = []
+    """Spans of high entropy, without what the known ones cover."""
+    found = []
     for m in CANDIDATE.finditer(text):
-        string = m[0]
-        if (kind := next((k for k in CLASSES if k.fits.fullmatch(string)), None)) is None or string in allow:
-            continue
-        if not all(p.search(string) for p in kind.needs):
+        if m[0] in allow:
             continue
-        for a, b in windows(string, kind.bits):
-            a, b = a + m.start(), b + m.start()
-            if all(b <= x or y <= a for x, y, _ in known):
-                out.append((a, b, "entropy"))
+        strings = [(m.start(), m[0])] + [(m.start() + x.start(), x[0]) for x in RUN.finditer(m[0]) if x[0] != m[0] and x[0] not in allow]
+        for start, string in strings:
+            if kind := class_of(string):
+                found += [(a + start, b + start) for a, b in windows(string, kind.bits)]
+    out, covered = [], merged([(a, b) for a, b, _ in known])
+    for a, b in merged(found):
+        for x, y in covered[max(0, bisect_right(covered, (a, a)) - 1) :]:
+            if x >= b:
+                break
+            if a < x:
+                out.append((a, x, "entropy"))
+            a = max(a, y)
+        if a < b:
+            out.append((a, b, "entropy"))
     return out
 
 
