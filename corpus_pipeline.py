@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from duolith.llm import bpe, exact_dedup, ngram_join, quality_rules, source_mix
 from duolith.llm.common import cut, read
 
+#: Boilerplate in the pipeline: lines in this share of the distinct documents of a source. The SQL of op2_quality_rules has a larger one.
+LINE_SHARE = 0.01
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep, without the lines that many documents of their source share."""
-    return quality_rules.clean(docs)
+    return quality_rules.clean(docs, share=LINE_SHARE)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

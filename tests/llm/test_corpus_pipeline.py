@@ -153,3 +153,12 @@ def test_stages_against_brute_force(spark, rows, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_quality_takes_lines_that_few_in_a_hundred_share(spark):
+    body = lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}{chr(97 + k)}" for k in range(25))
+    rows = [(i, body(i) + "\nSeen here and there" * (i < 24) + "\nRarely seen" * (30 <= i < 39), "en", "a", 0) for i in range(1200)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.quality(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()}
+    assert len(got) == 1200
+    assert not any("here and there" in t for t in got.values())
+    assert sum("Rarely" in t for t in got.values()) == 9
