@@ -15,6 +15,10 @@ from ..operators import select as S
 from ..operators.support import PARTS, evaluate, measured
 
 
+#: Parameters of which a run carries out one value only.
+ONLY = {"mining_algo": "greedy", "pair_sel": "overall", "inits_productivity": "medium"}
+
+
 @dataclass(frozen=True)
 class Constraints:
     """Parameters of a run. Values between 0 and 1 are shares of the rows where `of` is used."""
@@ -49,6 +53,11 @@ class Constraints:
     lsh_nb_rows: int = 0
     lsh_random_seed: int = 0
 
+    def __post_init__(self):
+        for name, value in ONLY.items():
+            if getattr(self, name) != value:
+                raise ValueError(f"{name} = {getattr(self, name)!r} isn't carried out, only {value!r}")
+
     def of(self, name: str, rows: int) -> int:
         v = getattr(self, name)
         return round(v * rows) if 0 < v < 1 else int(v)

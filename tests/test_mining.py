@@ -140,3 +140,10 @@ def test_streaming(spark, data, tmp_path):
 def test_normalized_items_keep_their_rows(data):
     x = M.normalized({"queries": (parse("(a & b) | (a & !b)"), parse("c"))})
     assert x["left"] == "a" and show(x["queries"][1]) == "c"
+
+
+def test_settings_that_no_run_carries_out_are_rejected():
+    for setting in ({"mining_algo": "trees"}, {"pair_sel": "alternate"}, {"inits_productivity": "high"}):
+        with pytest.raises(ValueError, match=next(iter(setting))):
+            M.Constraints(**setting)
+    assert M.Constraints().mining_algo == "greedy"
