@@ -117,11 +117,25 @@ def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     return joined.select("page_id", F.concat("header", end, block, end, end).alias("record"), "payload")
 
 
+def parse_records(records: DataFrame) -> DataFrame:
+    """The columns of read_records, from the rows of reconstruct: the header in each whole record, and its payload."""
+    # URLs have no line ends here, so the first empty line ends the header
+    header = F.encode(F.concat(F.substring_index(F.decode("record", "UTF-8"), "\r\n\r\n", 1), F.lit("\r\n")), "UTF-8")
+    kind = dict(records.dtypes)["page_id"]
+    parsed = records.select(header.alias("header"), "payload").select(
+        field("X-Page").cast(kind).alias("page_id"), F.length("payload").cast("long").alias("payload_bytes"),
+        F.substring_index(field("WARC-Payload-Digest"), ":", -1).alias("payload_digest"),
+        field("WARC-Type").alias("record_type"), field("X-Refers-To-Page").cast(kind).alias("refers_to"), base32_sha1(F.col("payload")).alias("actual"),
+    )
+    sure = F.when(F.col("payload_digest") == F.col("actual"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header's digest isn't its payload's")))
+    return parsed.select("page_id", "payload_bytes", sure.alias("payload_digest"), "record_type", "refers_to")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut(spark.range(0))  # names a folder where none is set
     path = f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
     write_archive(read(spark, sf_dir, "pages"), path)
-    return read_records(spark, path)
+    return parse_records(reconstruct(spark, path))
 
 
 SQL = f"""

@@ -65,3 +65,15 @@ def test_damage_is_found(spark, pages, tmp_path):
 def test_empty_table(spark, pages, tmp_path):
     write_archive(pages.limit(0), str(tmp_path / "a"))
     assert read_records(spark, str(tmp_path / "a")).count() == 0 and reconstruct(spark, str(tmp_path / "a")).count() == 0
+
+
+def test_query_goes_through_whole_records(spark, tmp_path, monkeypatch):
+    from duolith.llm import warc
+
+    rows = [(1, "http://a/\r\n\r\nx", "é\r\n\r\nX-Page: 9\r\n"), (2, None, None), (3, "http://b/", "é\r\n\r\nX-Page: 9\r\n"), (4, "http://c/", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    paths = []
+    monkeypatch.setattr(warc, "reconstruct", lambda s, path: paths.append(path) or reconstruct(s, path))
+    got = sorted(map(tuple, warc.query(spark, str(tmp_path)).collect()))
+    assert len(paths) == 1 and got == sorted(map(tuple, read_records(spark, paths[0]).collect()))
+    assert [(r[0], r[1], r[3], r[4]) for r in got] == [(1, 17, "response", None), (2, 0, "response", None), (3, 17, "revisit", 1), (4, 0, "revisit", 2)]
