@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.settle import settled
+
 #: White space of the contracts, as a Java and Python character class. `bytes.split()` splits at the same characters.
 SPACES = r"[\x20\x09-\x0D]+"
 #: A word of the contracts.
@@ -25,14 +26,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from those files, so that a lost executor costs no more than a read.
-
-    The folder is the one that the session names; only where none is set, as in tests, a temporary one is taken.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="duolith-"))
-    return df.checkpoint()
+    """Write df to the shared checkpoint folder and go on from those files, so that a lost executor costs no more than a read."""
+    return settled(df)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
@@ -90,7 +85,7 @@ def ddl(df: DataFrame, *names: str) -> str:
     return ", ".join(f"`{n}` {types[n]}" for n in names)
 
 
-def whole(column: str) -> "F.Column":
+def whole(column: str) -> Column:
     """A text column with null as empty."""
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -101,21 +96,33 @@ def aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names.values()), names
 
 
-#: A table of the rows that stay is broadcast up to so many rows of a few longs (about 16 MB), and joined by its keys beyond.
-BROADCAST_ROWS = 500_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """df, cut, and marked for a broadcast if its rows are few; else the join shuffles both sides."""
-    df = cut(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
+def one_of_each(found: DataFrame, kept: DataFrame, keys: list[str], twins: str, columns: list[str]) -> DataFrame:
+    """The columns of found, rows joined with kept, whose column `twins` tells how many rows have a row's keys: of rows with equal keys
+    one stays.
 
-def one_of_each(found: DataFrame, keys: list[str], twins: str, columns: list[str]) -> DataFrame:
-    """The columns of found, whose column `twins` tells how many rows have a row's keys: of rows with equal keys one stays.
-
-    Only where there are such rows a window over them is planned, so that texts aren't shuffled for it.
+    Only where kept, which is written already, has such keys a window over their rows is planned, so that other texts aren't
+    shuffled for it.
     """
+    if not kept.where(F.col(twins) > 1).head(1):
+        return found.select(*columns)
     order = Window.partitionBy(*keys).orderBy(F.lit(0))
     rest = found.where(F.col(twins) > 1).withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
     return found.where(F.col(twins) == 1).select(*columns).unionByName(rest.select(*columns))
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with, for each name in sums, the sum of its column over the rows up to and including a row in the order, over all rows.
+
+    The rows are dealt to tasks by ranges of the order; each task adds up its own rows, and the totals of the ranges before it, one
+    row for each task, are added. No task has all rows. The order must be total, else rows that tie may get each other's sums.
+    """
+    keys, names = [f"_o{i}" for i in range(len(order))], list(sums)
+    keyed = df.select("*", *(o.alias(k) for o, k in zip(order, keys)), *(F.coalesce(c, F.lit(0)).alias(f"_v{i}") for i, c in enumerate(sums.values())))
+    placed = cut(keyed.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
+    parts = placed.groupBy("_range").agg(*(F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(names))))  # as many rows as tasks
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("_range", *(F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_b{i}") for i in range(len(names))))
+    inside = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.select("*", *(F.sum(f"_v{i}").over(inside).alias(f"_s{i}") for i in range(len(names))))
+    full = local.join(F.broadcast(offsets), "_range")
+    return full.select(*df.columns, *((F.col(f"_s{i}") + F.col(f"_b{i}")).alias(n) for i, n in enumerate(names)))

@@ -16,7 +16,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     of the size of a component. Each step is written to the checkpoint folder.
     """
     now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    before = None
+    n = now.count()
     while True:
         # large star: of both ends, hang all larger neighbours on the smallest of the neighbourhood
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,9 +27,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         joined = large.join(small_least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v")))
         after = cut(small.where("u <> v").distinct())
-        sums = after.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
-        if before == (sums["n"], sums["h"]):
+        m = after.count()
+        done = m == n and not after.join(now, ["u", "v"], "left_anti").head(1)  # distinct on both sides: the same edges
+        now, n = after, m
+        if done:
             break
-        now, before = after, (sums["n"], sums["h"])
-    roots = after.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
+    roots = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -12,10 +12,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, aside, cut, one_of_each, read, small, whole
+from .common import SPACES, aside, cut, one_of_each, read, whole
 
 #: A digest is frequent if it holds at least this share of the rows.
 SHARE = 1 / 4096
@@ -45,15 +45,10 @@ def frequent(keyed: DataFrame, key: str, rows: int, share: float = SHARE, counte
     return parts.groupBy("digest").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, rows * (share - 1 / counters))).select(F.col("digest").alias(key))
 
 
-def exact_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", share: float = SHARE, counters: int = COUNTERS) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal if they are after each run of white space became one space; null counts as empty. Of equal texts the
-    row with the smallest id stays; ids that are null come last, and of rows that repeat an id with an equal text one stays.
-    Other columns of docs are ignored, an empty table gives no rows.
-    """
+def groups(docs: DataFrame, doc_id: str, text: str, share: float, counters: int, **extra: Column) -> DataFrame:
+    """doc_id, digest, row, the extra columns, group_size and first (no_id, doc_id, row) of each row's group of equal texts."""
     digest = F.unhex(F.sha2(F.regexp_replace(whole(text), SPACES, " "), 256))
-    keyed = cut(docs.select(F.col(doc_id).alias("doc_id"), digest.alias("digest"), F.monotonically_increasing_id().alias("row")))
+    keyed = cut(docs.select(F.col(doc_id).alias("doc_id"), digest.alias("digest"), F.monotonically_increasing_id().alias("row"), *(c.alias(k) for k, c in extra.items())))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row"))
     group = [F.count("*").alias("group_size"), F.min(rank).alias("first")]
     rows = keyed.count()
@@ -63,7 +58,17 @@ def exact_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     heavy = keyed.join(F.broadcast(winners), "digest")
     of = Window.partitionBy("digest")
     light = keyed.join(F.broadcast(winners.select("digest")), "digest", "left_anti").select("*", *(g_over for g_over in (F.count("*").over(of).alias("group_size"), F.min(rank).over(of).alias("first"))))
-    return heavy.unionByName(light).select(
+    return heavy.unionByName(light)
+
+
+def exact_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", share: float = SHARE, counters: int = COUNTERS) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal if they are after each run of white space became one space; null counts as empty. Of equal texts the
+    row with the smallest id stays; ids that are null come last, and of rows that repeat an id with an equal text one stays.
+    Other columns of docs are ignored, an empty table gives no rows.
+    """
+    return groups(docs, doc_id, text, share, counters).select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
         "group_size",
@@ -72,19 +77,20 @@ def exact_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     )
 
 
-def drop_copies(docs: DataFrame, **options) -> DataFrame:
-    """docs without all rows but the first of each group of equal texts."""
+def drop_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", share: float = SHARE, counters: int = COUNTERS) -> DataFrame:
+    """docs, with all its columns, without all rows but the first of each group of equal texts.
+
+    What is equal and which row stays is as in exact_dedup, for null, empty and very long texts and repeated rows too: of rows
+    that agree in id and text any one stays. An empty table gives no rows; names of other columns can't clash.
+    """
     full, names = aside(docs)
-    doc_id, text = names[options.get("doc_id", "doc_id")], names[options.get("text", "text")]
-    # a row is found again by id and digest; how many rows agree in both tells if one of several must be picked
-    same = exact_dedup(docs, **options).groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("twins"))
-    kept = small(same.where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"), "twins"))
-    keyed = full.withColumn("digest", F.unhex(F.sha2(F.regexp_replace(whole(text), SPACES, " "), 256)))
-    found = keyed.join(kept, (F.col("digest") == F.col("_digest")) & F.col(doc_id).eqNullSafe(F.col("_id")))
-    columns = list(names.values())
-    if kept.where("twins > 1").head(1):
-        return one_of_each(found, ["_digest", "_id"], "twins", columns).toDF(*docs.columns)
-    return found.select(*columns).toDF(*docs.columns)
+    # a row is found again by its id and a hash of its text; how many rows agree in both tells if one of several must be picked
+    rows = groups(docs, doc_id, text, share, counters, mark=F.xxhash64(whole(text)))
+    same = rows.groupBy("doc_id", "mark").agg(F.bool_or(F.col("first.row") == F.col("row")).alias("kept"), F.count("*").alias("twins"))
+    kept = cut(same.where("kept").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "twins"))
+    keyed = full.withColumn("mark", F.xxhash64(whole(names[text])))
+    found = keyed.join(kept, (F.col("mark") == F.col("_mark")) & F.col(names[doc_id]).eqNullSafe(F.col("_id")))
+    return one_of_each(found, kept, ["_mark", "_id"], "twins", list(names.values())).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

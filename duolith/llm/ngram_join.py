@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, aside, cut, ddl, map_texts, one_of_each, read, release, small
+from .common import SPACES, aside, cut, ddl, map_texts, one_of_each, read, release
 from .components import components
 
 N = 5
@@ -37,8 +37,6 @@ STEP = 16
 TOLERANCE = 1e-9
 #: Members of a block of a bucket, and n-grams of all of them (32 MB), so that a task holds two such blocks at most.
 BLOCK, BLOCK_GRAMS = 2048, 1 << 22
-#: The texts to verify are picked by a broadcast of up to so many ids (12 MB), and by a join beyond.
-BROADCAST_IDS = 500_000
 _RNG = np.random.default_rng(20240917)
 _A = _RNG.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -241,7 +239,7 @@ def by_block_pair(rows: DataFrame, fn: Callable[[int, bool, tuple, list[dict], l
         rows = (r for b in batches for at in range(0, b.num_rows, 256) for r in b.slice(at, 256).to_pylist())
         made: list[tuple] = []
         for key, group in groupby(rows, key=lambda r: tuple(r[k] for k in keys)):
-            members = list({(r["rep"]): r for r in group}.values())  # a row may come twice if its document does
+            members = list(group)
             same = key[2] == key[3]
             made += fn(key[0], same, key, [r for r in members if r["mine"] == key[2]], [r for r in members if r["mine"] == key[3]])
             if len(made) >= 1 << 14:
@@ -276,8 +274,8 @@ def similar(rows: DataFrame, n: int, threshold: float, block: int, tolerance: fl
     left = cut(by_block_pair(members.join(values, "rep"), living, "band int, hash long, p int, q int, mine int, rep long"))
     wanted = left.select("rep").distinct().join(leads.select("rep", F.col("doc_id").alias("lead_id"), F.col("text_hash").alias("lead_hash")), "rep")
     wanted = cut(wanted)
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = rows.withColumn("text_hash", F.xxhash64("text")).join(side, F.col("doc_id").eqNullSafe(F.col("lead_id")) & (F.col("text_hash") == F.col("lead_hash")))
+    texts = rows.withColumn("text_hash", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("lead_id")) & (F.col("text_hash") == F.col("lead_hash")))
+    texts = texts.groupBy("rep").agg(F.first("text").alias("text"))  # of rows that repeat id and text, one
     sets = map_texts(texts.select("rep", "text"), lambda ts: {"grams": [shingles(t, n).tobytes() for t in ts]}, "grams binary", keep="rep long", raw=True)
     full = left.join(sets, "rep").join(values, "rep")
 
@@ -317,22 +315,20 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int
 
 
 def drop_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, block: int = BLOCK, tolerance: float = TOLERANCE) -> DataFrame:
-    """docs with one row of each class, that of the smallest id; rows without words stay."""
+    """docs, with all its columns, with one row of each class of near copies, that of the smallest id (null last); rows without words,
+    null and empty texts too, stay. Of rows that repeat an id and its text one stays. An empty table gives no rows."""
     full, names = aside(docs)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     every = similar(rows, n, threshold, block, tolerance)
     same = every.where("root IS NOT NULL").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("twins"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "twins")
     first = same.groupBy("root").agg(F.min(order).alias("k"))
-    first = small(first.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"), F.col("k.twins").alias("twins")))
+    first = cut(first.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"), F.col("k.twins").alias("twins")))
     body = F.coalesce(F.col(names[text]), F.lit(""))
     keyed = full.withColumn("text_hash", F.xxhash64(body))
     found = keyed.join(first, F.col(names[doc_id]).eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
     columns = list(names.values())
-    if first.where("twins > 1").head(1):
-        kept = one_of_each(found, ["_id", "_hash"], "twins", columns)
-    else:
-        kept = found.select(*columns)
+    kept = one_of_each(found, first, ["_id", "_hash"], "twins", columns)
     empty = full.where(F.length(F.regexp_replace(F.coalesce(F.col(names[text]), F.lit("")), SPACES, "")) == 0)
     return kept.unionByName(empty.select(*columns)).toDF(*docs.columns)
 

@@ -9,20 +9,20 @@ make boilerplate of its own text.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import aside, cut, ddl, map_texts, read
+from .common import aside, cut, ddl, map_texts, read, whole
 
 #: A line is boilerplate if at least this share of the host's distinct documents have it, and MIN_DOCS of them.
-LINE_SHARE = 0.1
+LINE_SHARE = 0.01
 MIN_DOCS = 10
 #: A document is depleted if less than this share of its words is left.
 LEFT = 0.3
-#: The lines above the limit are broadcast up to so many longs (8 MB), and joined by host beyond.
-BROADCAST_LONGS = 1 << 20
 MIN_WORDS = 20
 REPEATED = 30
 WINDOW = 8
@@ -36,12 +36,9 @@ _KIND[0x80:0xC0] = _INNER  # bytes of a character after its first
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
 
 
-def normalised(line: bytes) -> bytes:
-    return b" ".join(line.split()).translate(_FOLD)
-
-
-def line_hash(line: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(normalised(line)) - (1 << 63)
+def line_hash(words: list[bytes]) -> int:
+    """Of a line's words, as normalised."""
+    return xxhash.xxh3_64_intdigest(b" ".join(words).translate(_FOLD)) - (1 << 63)
 
 
 def repeat_words(words: list[bytes], doc: np.ndarray, docs: int, window: int = WINDOW) -> np.ndarray:
@@ -70,69 +67,99 @@ def repeat_words(words: list[bytes], doc: np.ndarray, docs: int, window: int = W
     return np.bincount(doc[np.cumsum(cover[:-1]) > 0], minlength=docs)
 
 
-def statistics(texts: list[bytes], bad: list[list[int] | None], texts_too: bool = False) -> dict[str, list]:
-    """Statistics of each text, and what its lines above the limit (by their hashes in `bad`) take away."""
+def statistics(texts: list[bytes]) -> dict[str, list]:
+    """Statistics of each text; the hashes of its distinct normalised lines, and how many words the lines of each hash have."""
     docs = len(texts)
-    split = [t.split() for t in texts]
-    counts = np.fromiter(map(len, split), np.int64, docs)
-    doc = np.repeat(np.arange(docs), counts)
     kinds = _KIND[np.frombuffer(b"".join(texts), np.uint8)]
     sizes = np.fromiter(map(len, texts), np.int64, docs)
     of = np.repeat(np.arange(docs), sizes)
     per = lambda kind: np.bincount(of[kinds == kind], minlength=docs)
-    dup, removed, cleaned = [], [], []
-    for t, hashes in zip(texts, bad, strict=True):
-        lines = t.split(b"\n")
-        filled = [x for x in lines if x.split()]
-        dup.append(len(filled) - len(set(filled)))
-        gone = frozenset(hashes or ())
-        drop = {x for x in set(filled) if line_hash(x) in gone} if gone else set()
-        removed.append(sum(len(x.split()) for x in filled if x in drop) if drop else 0)
-        if texts_too:
-            cleaned.append(b"\n".join(x for x in lines if x not in drop).decode() if drop else None)
-    out = {
+    every, counts, dup, hashes, held = [], [], [], [], []
+    for t in texts:
+        known, words_of, lines, n = {}, {}, 0, 0
+        for line in t.split(b"\n"):
+            words = line.split()
+            if not words:
+                continue
+            lines += 1
+            n += len(words)
+            every += words
+            h = known.get(line)
+            if h is None:
+                known[line] = h = line_hash(words)
+            words_of[h] = words_of.get(h, 0) + len(words)
+        counts.append(n)
+        dup.append(lines - len(known))
+        hashes.append(list(words_of))
+        held.append(list(words_of.values()))
+    counts = np.array(counts, np.int64)
+    return {
         "n_words": counts,
         "word_chars": sizes - per(_INNER) - per(_SPACE),
         "n_symbols": per(_SYMBOL),
         "n_dup_lines": dup,
-        "n_repeat_words": repeat_words([w for ws in split for w in ws], doc, docs),
-        "removed_words": removed,
+        "n_repeat_words": repeat_words(every, np.repeat(np.arange(docs), counts), docs),
+        "lines": hashes,
+        "line_words": held,
     }
-    return out | {"clean_text": cleaned} if texts_too else out
 
 
-def line_hashes(texts: list[bytes]) -> dict[str, list]:
-    """A digest of each text, and the hashes of its distinct normalised lines."""
-    lines = [list({line_hash(x) for x in set(t.split(b"\n")) if x.split()}) for t in texts]
-    return {"digest": [xxhash.xxh3_128_digest(t) for t in texts], "lines": lines}
+def without(texts: list[bytes], gone: list[list[int] | None]) -> dict[str, list]:
+    """The texts without the lines of the hashes; null where there are none to take out."""
+    out: list[str | None] = []
+    for t, hashes in zip(texts, gone, strict=True):
+        drop = frozenset(hashes or ())
+        out.append(b"\n".join(x for x in t.split(b"\n") if not ((words := x.split()) and line_hash(words) in drop)).decode() if drop else None)
+    return {"clean_text": out}
+
+
+_STATISTICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<int>"
+#: What tells a text of a host from others: two 64-bit hashes.
+_TEXT = ["mark", "mark_too"]
+
+
+def marked(rows: DataFrame, text: str) -> DataFrame:
+    body = whole(text)
+    return rows.withColumn("mark", F.xxhash64(body)).withColumn("mark_too", F.xxhash64(F.lit(1), body))
+
 
+def same_text(host: str) -> Column:
+    """The join of rows with their host's text: marks of the rows against those under other names."""
+    return reduce(Column.__and__, [F.col(m) == F.col(f"_{m}") for m in _TEXT], F.col(host).eqNullSafe(F.col("_host")))
 
-def boilerplate(rows: DataFrame, share: float = LINE_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
-    """bad_host, bad: the hashes of each host's lines above the limit. rows: host, text.
 
-    A host's hashes are bounded, however many documents it has: each stands in the share of the documents at least, so
-    there are at most (mean lines of a document) / share.
+def boilerplate(distinct: DataFrame, share: float = LINE_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
+    """bad_host, bad_line: the hashes of each host's lines above the limit. distinct: host and lines of each text of a host.
+
+    Each line stands in the share of the host's documents at least, so a host has at most (mean lines of a document) / share.
     """
-    lines = map_texts(rows, line_hashes, "digest binary, lines array<long>", keep=ddl(rows, "host"), raw=True)
-    distinct = lines.groupBy("host", "digest").agg(F.first("lines").alias("lines"))
     every = F.explode(F.concat("lines", F.array(F.lit(None).cast("long")))).alias("line")  # a null for each document, to count them
     counts = cut(distinct.select("host", every).groupBy("host", "line").agg(F.count("*").alias("n")).where((F.col("n") >= min_docs) | F.col("line").isNull()))
     totals = counts.where("line IS NULL").select(F.col("host").alias("bad_host"), F.col("n").alias("docs"))
     many = counts.where("line IS NOT NULL").join(totals, F.col("host").eqNullSafe(F.col("bad_host"))).where(F.col("n") >= F.col("docs") * share)
-    bad = cut(many.groupBy("bad_host").agg(F.collect_list("line").alias("bad")))
-    held = bad.agg(F.sum(F.size("bad") + 16)).first()[0] or 0
-    return F.broadcast(bad) if held <= BROADCAST_LONGS else bad
-
-
-def _judged(docs: DataFrame, text: str, host: str, share: float, min_docs: int, left: float, texts_too: bool) -> tuple[DataFrame, dict[str, str]]:
-    full, names = aside(docs)
-    bad = boilerplate(docs.select(F.col(host).alias("host"), F.col(text).alias("text")), share, min_docs)
-    joined = full.join(bad, F.col(names[host]).eqNullSafe(F.col("bad_host")), "left")
-    schema = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, removed_words long" + ", clean_text string" * texts_too
-    made = map_texts(joined, lambda t, b: statistics(t, b, texts_too), schema, text=names[text], args=("bad",), keep=ddl(joined, *names.values()), raw=True)
+    return many.select("bad_host", F.col("line").alias("bad_line"))
+
+
+def measured(rows: DataFrame, share: float, min_docs: int) -> tuple[DataFrame, DataFrame]:
+    """The statistics of each row (doc_id, host, text), one look at the texts, and for each text of a host with lines above the limit
+    removed_words and gone, the hashes of those lines."""
+    marks = marked(rows, "text")
+    known = cut(map_texts(marks, statistics, _STATISTICS, keep=ddl(marks, "doc_id", "host", *_TEXT), raw=True))
+    # texts are told apart by their marks, so that only hashes of lines are shuffled, and no text
+    distinct = cut(known.groupBy("host", *_TEXT).agg(F.first("lines").alias("lines"), F.first("line_words").alias("line_words")))
+    bad = boilerplate(distinct, share, min_docs)
+    lines = distinct.select("host", *_TEXT, F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("host", *_TEXT, "l.lines", "l.line_words")
+    found = lines.join(bad, F.col("host").eqNullSafe(F.col("bad_host")) & (F.col("lines") == F.col("bad_line")))
+    removed = found.groupBy("host", *_TEXT).agg(F.sum("line_words").alias("removed_words"), F.collect_list("lines").alias("gone"))
+    return known, removed.select(F.col("host").alias("_host"), *(F.col(m).alias(f"_{m}") for m in _TEXT), "removed_words", "gone")
+
+
+def verdict(known: DataFrame, removed: DataFrame, left: float) -> DataFrame:
+    """known with removed_words, gone, base_failed and kept."""
+    joined = known.join(removed, same_text("host"), "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEATED)
     enough = (F.col("n_words") - F.col("removed_words")) >= F.col("n_words") * left
-    return made.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & enough), names
+    return joined.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & enough)
 
 
 def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", share: float = LINE_SHARE, min_docs: int = MIN_DOCS, left: float = LEFT) -> DataFrame:
@@ -141,18 +168,30 @@ def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host:
     A null text counts as empty: it has no words and so fails the base. A null host is a host of its own. Repeated rows
     are each judged; an empty table gives no rows; other columns of docs are ignored.
     """
-    made, names = _judged(docs.select(*dict.fromkeys([doc_id, host, text])), text, host, share, min_docs, left, False)
-    return made.select(F.col(names[doc_id]).alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text"))
+    judged = verdict(*measured(rows, share, min_docs), left)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
 def clean(docs: DataFrame, *, text: str = "text", host: str = "source", size: str = "n_chars", share: float = LINE_SHARE, min_docs: int = MIN_DOCS, left: float = LEFT) -> DataFrame:
-    """The documents that the rules keep, without their lines above the limit; `size`, if docs has it, is counted anew where lines went."""
-    made, names = _judged(docs, text, host, share, min_docs, left, True)
+    """The documents that the rules keep, without their lines above the limit; `size`, if docs has it, is counted anew where lines went.
+
+    Null and empty texts fail the base, so they go; repeated rows all stay or all go. An empty table gives no rows; all columns of
+    docs are kept, whatever their names.
+    """
+    full, names = aside(docs)
+    rows = docs.select(F.lit(0).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text"))
+    known, removed = measured(rows, share, min_docs)
+    # the verdict is the same for all rows of a host with one text
+    texts = known.groupBy("host", *_TEXT).agg(F.first("n_words").alias("n_words"), F.first("n_repeat_words").alias("n_repeat_words"))
+    kept = verdict(texts, removed, left).where("kept").select(F.col("host").alias("_host"), *(F.col(m).alias(f"_{m}") for m in _TEXT), "removed_words", "gone")
+    joined = marked(full, names[text]).join(cut(kept), same_text(names[host]))
+    made = map_texts(joined, without, "clean_text string", text=names[text], args=("gone",), keep=ddl(joined, *names.values(), "removed_words"), raw=True)
     went = F.col("removed_words") > 0
     new = {text: F.when(went, F.col("clean_text")).otherwise(F.col(names[text]))}
     if size in docs.columns:
         new[size] = F.when(went, F.length("clean_text").cast(dict(docs.dtypes)[size])).otherwise(F.col(names[size]))
-    return made.where("kept").select(*(new.get(c, F.col(names[c])).alias(c) for c in docs.columns))
+    return made.select(*(new.get(c, F.col(names[c])).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

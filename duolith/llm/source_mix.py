@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, aside, cut, read, small
+from .common import SPACES, WORDS, aside, cut, read, running, whole
 
 WEIGHTS = (5, 2, 1)
 #: The mix has this share of all words.
@@ -26,17 +26,12 @@ BLOCK_WORDS = 16
 SHARD_WORDS = 1_000_000
 #: And about so many documents at most.
 SHARD_DOCS = 20_000
-#: The table of sources is broadcast up to so many rows, and joined by source beyond.
-BROADCAST_SOURCES = 50_000
 SEED = 20240917
 
 
 def n_words(text: Column) -> Column:
-    """The number of words: of the runs of white space and of what is left between them, counted without splitting."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
-    spaces = F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit("")))
-    ends = trimmed.startswith(" ").cast("int") + trimmed.endswith(" ").cast("int")
-    return F.when(F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) == 0, F.lit(0)).otherwise(spaces - ends + 1).cast("long")
+    """The number of words, 0 for null."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORDS)).cast("long")
 
 
 def draw(bound: Column, *key: Column) -> Column:
@@ -52,18 +47,16 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     words: what resharing the excess again and again comes to. With the sources by size per weight, those up to some place
     are at their limit; the level is that of the first place whose next source isn't.
     """
-    every = Window.partitionBy(F.lit(0))
-    place = F.row_number().over(every.orderBy(F.col("source").isNull(), F.col("source"))) - 1
-    weight = F.get(F.array(*map(F.lit, weights)), F.pmod(place, F.lit(len(weights)))).cast("long")
-    ranked = sources.withColumn("place", place).withColumn("weight", weight).withColumn("limit", F.col("source_size") * most)
-    before = every.orderBy(F.col("limit") / F.col("weight"), "place").rowsBetween(Window.unboundedPreceding, -1)
-    whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total = F.sum("source_size").over(whole) * F.lit(share)
-    full, used = F.coalesce(F.sum("limit").over(before), F.lit(0)), F.coalesce(F.sum("weight").over(before), F.lit(0))
-    level = (total - full) / (F.sum("weight").over(whole) - used)
-    ranked = ranked.withColumn("level", level).withColumn("open", F.col("level") * F.col("weight") <= F.col("limit"))
-    first = F.min(F.when(F.col("open"), F.struct(F.col("limit") / F.col("weight"), "place", "level"))).over(whole)["level"]
-    return ranked.withColumn("target", F.when(first.isNull(), F.col("limit").cast("double")).otherwise(F.least(F.col("limit").cast("double"), first * F.col("weight")))).drop("level", "open", "limit")
+    place = running(sources, [F.col("source").isNull(), F.col("source")], {"_n": F.lit(1)}).withColumn("place", F.col("_n") - 1).drop("_n")
+    weight = F.get(F.array(*map(F.lit, weights)), F.pmod(F.col("place"), F.lit(len(weights))).cast("int")).cast("long")
+    ranked = place.withColumn("weight", weight).withColumn("limit", F.col("source_size") * most)
+    sums = running(ranked, [F.col("limit") / F.col("weight"), F.col("place")], {"_limits": F.col("limit"), "_weights": F.col("weight")})
+    words, all_weights = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    level = (F.lit(words * share) - (F.col("_limits") - F.col("limit"))) / (F.lit(all_weights) - (F.col("_weights") - F.col("weight")))
+    fits = sums.withColumn("level", level).where(F.col("level") * F.col("weight") <= F.col("limit"))
+    first = fits.agg(F.min(F.struct(F.col("limit") / F.col("weight"), "place", "level")).alias("m")).first()["m"]
+    most_of = F.col("limit").cast("double")
+    return ranked.withColumn("target", most_of if first is None else F.least(most_of, F.lit(first["level"]) * F.col("weight"))).drop("limit")
 
 
 def apportion(parties: DataFrame, votes: str, seats: str, group: list[str], order: list[str], out: str) -> DataFrame:
@@ -73,21 +66,20 @@ def apportion(parties: DataFrame, votes: str, seats: str, group: list[str], orde
     roundings moves the divisor by half a seat at most. So only the quotients in that range are ranked; there are fewer than
     5 a party on average, however many seats.
     """
-    of = Window.partitionBy(*group)
     v, s = F.col(votes).cast("double"), F.col(seats).cast("double")
-    all_votes, p = F.sum(v).over(of), F.count("*").over(of)
-    q = F.when(all_votes > 0, v * s / all_votes).otherwise(0.0)
-    slack = F.ceil(F.when(s > 0, q * p / (2 * s)).otherwise(0.0)).cast("long") + 1
+    sums = parties.groupBy(*group).agg(F.sum(v).alias("_all"), F.count("*").alias("_p"))
+    q = F.when(F.col("_all") > 0, v * s / F.col("_all")).otherwise(0.0)
+    slack = F.ceil(F.when(s > 0, q * F.col("_p") / (2 * s)).otherwise(0.0)).cast("long") + 1
     low = F.greatest(F.lit(0).cast("long"), F.floor(q) - slack)
-    bounded = parties.withColumn("_low", low).withColumn("_high", F.floor(q) + slack + 1)
-    bounded = bounded.withColumn("_open", F.col(seats) - F.sum("_low").over(of))
-    seats_of = bounded.select(*group, *order, "_open", v.alias("_votes"), F.explode(F.sequence("_low", "_high")).alias("_seat"))
+    bounded = cut(parties.join(sums, group).withColumn("_low", low).withColumn("_high", F.floor(q) + slack + 1))
+    given = bounded.groupBy(*group).agg(F.sum("_low").alias("_given"))
+    seats_of = bounded.join(given, group).where(v > 0).select(*group, *order, (F.col(seats) - F.col("_given")).alias("_open"), v.alias("_votes"), F.explode(F.sequence("_low", "_high")).alias("_seat"))
     quotients = seats_of.withColumn("_quotient", F.col("_votes") / (2 * F.col("_seat") + 1))
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("_quotient"), *order))
-    won = quotients.where("_votes > 0").withColumn("_rank", rank).where("_rank <= _open").groupBy(*group, *order).agg(F.count("*").alias("_won"))
-    keys = [*group, *order]
-    renamed = won.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_won")
-    joined = bounded.join(renamed, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left")
+    # ranks within the groups from one numbering of all quotients, so that no group has to fit a task
+    numbered = cut(running(quotients, [*map(F.col, group), -F.col("_quotient"), *map(F.col, order), F.col("_seat")], {"_n": F.lit(1)}))
+    starts = numbered.groupBy(*group).agg(F.min("_n").alias("_first"))
+    won = numbered.join(starts, group).where(F.col("_n") - F.col("_first") < F.col("_open")).groupBy(*group, *order).agg(F.count("*").alias("_won"))
+    joined = bounded.join(won, [*group, *order], "left")
     return joined.withColumn(out, F.col("_low") + F.coalesce("_won", F.lit(0))).select(*parties.columns, out)
 
 
@@ -107,23 +99,22 @@ def quotas(sized: DataFrame, block: int, shard_words: int, seed: int) -> tuple[D
 
 
 def shard_of(shards: Column, seed: int) -> Column:
-    return draw(shards, F.lit(seed), F.col("doc_id"))
+    """By id and text, so that rows that repeat an id, or have none, are spread, too."""
+    return draw(shards, F.lit(seed), F.col("doc_id"), F.col("mark"))
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, taken, passes, cut_from, cut_words, row.
+    """One row per input row: doc_id, source, size, source_size, target, taken, passes, cut_from, cut_words, row, mark (MD5 of the text).
 
     A document is taken `passes` times whole, and once more cut_words of its words from the word cut_from on (from the
     start again after its end); taken is the sum. Null texts and texts of white space have no words and are not taken. A
     null source is one of its own, the last. Rows that repeat an id are documents of their own. An empty table gives no rows.
     """
-    sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.monotonically_increasing_id().alias("row")))
+    sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.md5(whole(text)).alias("mark"), F.monotonically_increasing_id().alias("row")))
     sources, given = quotas(sized, block, shard_words, seed)
     named = sources.join(given, "place").select(F.col("source").alias("_source"), "place", "source_size", "target", "shards", "blocks")
-    if sources.count() <= BROADCAST_SOURCES:
-        named = F.broadcast(named)
     placed = sized.join(named, F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", shard_of(F.col("shards"), seed))
-    placed = cut(placed.select("doc_id", "source", "row", "size", "place", "source_size", "target", "shard", "blocks"))
+    placed = cut(placed.select("doc_id", "source", "row", "mark", "size", "place", "source_size", "target", "shard", "blocks"))
     shards = placed.groupBy("place", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
     shards = apportion(shards, "shard_size", "blocks", ["place"], ["shard"], "quota")
     n = F.greatest(F.lit(1).cast("long"), F.round(F.col("shard_size") / block).cast("long"))
@@ -144,6 +135,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
         F.when(first > 0, F.greatest(F.col("start"), F.col("from")) - F.col("start")).otherwise(0).cast("long").alias("cut_from"),
         cut_words.alias("cut_words"),
         "row",
+        "mark",
     )
 
 
@@ -153,20 +145,26 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed(docs: DataFrame, *, text: str = "text", size: str = "n_chars", **options) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each whole pass over a document, and one for each part of its text
-    that is taken beyond; `size`, if docs has it, is counted anew for parts."""
+    that is taken beyond; `size`, if docs has it, is counted anew for parts.
+
+    Null and empty texts have no words and aren't in the mix. Rows that repeat id, source and text are numbered and each taken as
+    the plan says. An empty table gives no rows; names of other columns can't clash.
+    """
     full, names = aside(docs)
     doc_id, source = names[options.get("doc_id", "doc_id")], names[options.get("source", "source")]
-    # rows are found again by id, source and words; of rows that agree in these, any may stand for any
-    keys = ["doc_id", "source", "size"]
+    # rows are found again by id, source and text
     plan = mix(docs, text=text, **options)
-    of = Window.partitionBy(*keys)
-    plan = cut(plan.withColumn("nth", F.row_number().over(of.orderBy("row"))).withColumn("twins", F.count("*").over(of)).where("taken > 0"))
-    keyed = full.withColumn("words", n_words(F.col(names[text])))
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("words") == F.col("_size"))
+    of = Window.partitionBy("doc_id", "source", "mark")
+    plan = plan.withColumn("nth", F.row_number().over(of.orderBy("row"))).withColumn("twins", F.count("*").over(of)).where("taken > 0")
+    plan = cut(plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.unhex("mark").alias("_mark"), F.col("size").alias("words"), F.col("nth").alias("_nth"), "twins", "passes", "cut_from", "cut_words"))
+    keyed = full.withColumn("mark", F.unhex(F.md5(whole(names[text]))))
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("mark") == F.col("_mark"))
+    found = keyed.join(plan.where("twins = 1"), same)
     if plan.where("twins > 1").head(1):
-        keyed = keyed.withColumn("nth", F.row_number().over(Window.partitionBy(doc_id, source, "words").orderBy(F.xxhash64(names[text]))))
-        same &= F.col("nth") == F.col("_nth")
-    plan = small(plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("nth").alias("_nth"), "passes", "cut_from", "cut_words"))
+        several = plan.where("twins > 1")
+        twins = keyed.join(several.select("_id", "_source", "_mark").distinct(), same, "left_semi")
+        twins = twins.withColumn("nth", F.row_number().over(Window.partitionBy(doc_id, source, "mark").orderBy(F.lit(0))))
+        found = found.unionByName(twins.join(several, same & (F.col("nth") == F.col("_nth"))).drop("nth"))
     body = F.col(names[text])
     # words with the white space before them; few documents are cut, those at the ends of runs
     pieces = F.regexp_extract_all(body, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
@@ -176,7 +174,7 @@ def mixed(docs: DataFrame, *, text: str = "text", size: str = "n_chars", **optio
     part = F.filter(F.array(piece((F.col("cut_from") + 1).cast("int"), ahead), piece(F.lit(1), again)), lambda x: x != "")
     entire = F.col("cut_words") == F.col("words")
     parts = F.when(F.col("cut_words") == 0, F.array().cast("array<string>")).when(entire, F.array(body)).otherwise(part)
-    rows = keyed.join(plan, same).withColumn("piece", F.explode(F.concat(F.array_repeat(body, F.col("passes").cast("int")), parts)))
+    rows = found.withColumn("piece", F.explode(F.concat(F.array_repeat(body, F.col("passes").cast("int")), parts)))
     new = {text: F.col("piece")}
     if size in docs.columns:
         new[size] = F.when(F.col("piece") == body, F.col(names[size])).otherwise(F.length("piece").cast(dict(docs.dtypes)[size]))
@@ -187,7 +185,7 @@ _WEIGHT = f"[{', '.join(map(str, WEIGHTS))}][1 + place % {len(WEIGHTS)}]"
 _DRAW = "(('0x' || substr(md5(concat_ws(':', {})), 1, 12))::BIGINT % {})"
 SQL = rf"""
 WITH RECURSIVE sized AS MATERIALIZED (
-  SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT row_number() OVER () AS r, doc_id, source, md5(coalesce(text, '')) AS mark, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), sources AS MATERIALIZED (
   SELECT *, {_WEIGHT}::DOUBLE AS weight FROM (
     SELECT source, sum(size)::BIGINT AS source_size, count(*) AS docs, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sized GROUP BY source)
@@ -212,7 +210,7 @@ WITH RECURSIVE sized AS MATERIALIZED (
     ceil(greatest(1.0, source_size / {SHARD_WORDS}, docs / {SHARD_DOCS}))::BIGINT AS shards
   FROM sources JOIN last USING (place) LEFT JOIN won USING (place)
 ), placed AS MATERIALIZED (
-  SELECT r, doc_id, size, place, source_size, target, blocks, {_DRAW.format(f"{SEED}, coalesce(doc_id::VARCHAR, 'null')", 'shards')} AS shard
+  SELECT r, doc_id, size, place, source_size, target, blocks, {_DRAW.format(f"{SEED}, coalesce(doc_id::VARCHAR, 'null'), mark", 'shards')} AS shard
   FROM sized s JOIN named n ON s.source IS NOT DISTINCT FROM n.source
 ), shards AS (
   SELECT place, shard, sum(size)::BIGINT AS words, greatest(1, round(sum(size) / {BLOCK_WORDS}))::BIGINT AS n, any_value(blocks) AS blocks FROM placed GROUP BY ALL

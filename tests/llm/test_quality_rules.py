@@ -22,7 +22,7 @@ def test_statistics_against_brute_force():
     rng = random.Random(5)
     texts = ["", "\n\n \t", "é\x85ü x #*$", "a " * 30]
     texts += ["".join(rng.choice(["a", "bb", "ñ", " ", " ", "\n", "#", "\x0b"]) for _ in range(rng.randrange(1, 400))) for _ in range(60)]
-    got = statistics([t.encode() for t in texts], [None] * len(texts))
+    got = statistics([t.encode() for t in texts])
     for i, t in enumerate(texts):
         assert tuple(int(got[c][i]) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == brute(t), repr(t)
 
