@@ -11,15 +11,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from duolith.llm import bpe, exact_dedup, ngram_join, quality_rules, source_mix
-from duolith.llm.common import cut, read
-
-#: Boilerplate in the pipeline: lines in this share of the distinct documents of a source. The SQL of op2_quality_rules has a larger one.
-LINE_SHARE = 0.01
+from duolith.functions.settle import shared_folder
+from duolith.llm.common import read
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep, without the lines that many documents of their source share."""
-    return quality_rules.clean(docs, share=LINE_SHARE)
+    return quality_rules.clean(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +45,20 @@ STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("ngram_join", nea
 ORACLE_SQL = None
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark can reach it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each result written to the shared checkpoint folder and read again."""
+    """All stages over `documents`, each result written to the shared checkpoint folder and read again. A result goes when the next one
+    is written; the last one stays, since the rows returned are read from it."""
     docs = read(spark, sf_dir, "documents")
-    cut(spark.range(0))  # names a folder where none is set
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
