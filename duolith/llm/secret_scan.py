@@ -30,7 +30,8 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,6}")
+#: A sign of equality may stand before a candidate, and pads it at its end.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,6}")
 #: Runs in a candidate that are candidates themselves.
 RUN = re.compile(r"[0-9a-z]{20,}|[0-9A-Z]{20,}")
 WINDOW = 20

@@ -95,3 +95,76 @@ def test_what_lies_outside_a_base_span_stays(spark):
 
 def test_one_character_longer_than_a_window():
     assert windows("aB1" + "a" * 30, 3.6) == []
+
+
+CONTRACT = {
+    "assign": re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
+    "access": re.compile(r"AKIA[A-Z0-9]+"),
+    "hex": re.compile(r"[0-9a-f]+"),
+}
+
+
+def contract_spans(text):
+    """The base by the contract's own patterns, not those of the operator."""
+    out = []
+    for k, (kind, pattern) in enumerate(CONTRACT.items()):
+        for m in pattern.finditer(text):
+            if {"assign": lambda: len(m[2]) >= 8, "access": lambda: len(m[0]) >= 16, "hex": lambda: len(m[0]) >= 32}[kind]():
+                out.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}"))
+    return [s for *_, s in sorted(out)]
+
+
+def brute_entropy(text):
+    """The characters that windows of enough entropy cover, by counting each window anew."""
+    from duolith.llm.secret_scan import CANDIDATE, RUN, class_of
+
+    allow, cover = AllowList(), set()
+    for m in CANDIDATE.finditer(text):
+        if m[0] in allow:
+            continue
+        for start, string in [(m.start(), m[0])] + [(m.start() + x.start(), x[0]) for x in RUN.finditer(m[0]) if x[0] != m[0] and x[0] not in allow]:
+            if kind := class_of(string):
+                cover |= {start + i for i in brute_windows(string, kind.bits)}
+    return cover
+
+
+def texts_with_secrets():
+    rng = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    image = "data:image/png;base64,iVBORw0KGgo" + "A" * 60 + key(200) + "A" * 25 + "=="
+    parts = [lambda: "x" * rng.randrange(18, 45), lambda: "A" * 21 + key(30), lambda: f"auth={key(24)}", lambda: f"k={key(22)}&sig={key(40)}", lambda: image, lambda: f"password = '{key(12)}'", lambda: "AKIA" + key(16).upper(), lambda: "%032x" % rng.getrandbits(128), lambda: "plain words here", lambda: "A1b" + "x" * 40, lambda: "é日 " * 3, lambda: "api_key:" + key(9), lambda: "token=" + "a" * 30]
+    return ["", "=", "A1b" + "x" * 40, image] + [rng.choice([" ", "\n", ";", ""]).join(rng.choice(parts)() for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+
+
+def test_base_against_the_contract_and_entropy_against_brute_force():
+    found = 0
+    for text in texts_with_secrets():
+        base, spans = scan(text, AllowList())
+        assert [f"{k}:{a}:{b}" for a, b, k in base] == contract_spans(text), repr(text)
+        covered = {i for a, b, _ in base for i in range(a, b)}
+        mine = {i for a, b, k in spans if k == "entropy" for i in range(a, b)}
+        assert mine == brute_entropy(text) - covered, repr(text)
+        assert [s for s in spans if s[2] != "entropy"] == base
+        found += bool(mine)
+    assert found > 100
+
+
+def test_values_behind_a_sign_of_equality():
+    for text in (f"auth={KEY}", f"https://a.org/?sig={KEY}&x=1", f"x: {KEY}", f"SESSION={KEY}=="):
+        spans = scan(text, AllowList())[1]
+        assert [k for *_, k in spans] == ["entropy"] and KEY in text[spans[0][0] : spans[0][1]], text
+
+
+def test_query_against_the_contract(spark, tmp_path):
+    rows = list(enumerate(texts_with_secrets()))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    added = 0
+    for r in query(spark, str(tmp_path)).collect():
+        want = contract_spans(rows[r.doc_id][1])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s.startswith(k) for s in want) for k in CONTRACT)
+        spans = r.spans.split(",") if r.spans else []
+        assert [s for s in spans if not s.startswith("entropy")] == want
+        added += len(spans) - len(want)
+    assert added > 100
