@@ -143,20 +143,23 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", max_labelled: int = MAX_LABELLED) -> RuleEnsemble:
     """Fit to at most max_labelled labelled documents that aren't held out, picked by a hash of their ids. docs: doc_id and text; labels: doc_id and label.
 
-    Rows without a label of 0 or 1 are left out; of several labels of a document the largest counts.
+    Rows without a label of 0 or 1 are left out; of several labels of a document the largest counts. Rows that repeat an id with the
+    same statistics count once, those of different texts each; null and empty texts and very long ones count like others.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
-    picked = usable.groupBy("doc_id").agg(F.max("label").cast("double").alias("label")).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_labelled)
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")
-    known = map_texts(rows, statistics, ", ".join(f"{s} double" for s in STATISTICS), keep=ddl(rows, "doc_id", "label"), raw=True)
-    return fit(cut(known.orderBy("doc_id", *STATISTICS).coalesce(1)))  # in one order, so that reruns agree
+    order = F.md5(F.col("doc_id").cast("string"))
+    picked = usable.groupBy("doc_id").agg(F.max("label").cast("double").alias("label")).orderBy(order, "doc_id").limit(max_labelled)
+    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "label", F.col(text).alias("text"))  # at most max_labelled ids
+    known = cut(map_texts(rows, statistics, ", ".join(f"{s} double" for s in STATISTICS), keep=ddl(rows, "doc_id", "label"), raw=True))
+    return fit(cut(known.distinct().orderBy(order, "doc_id", *STATISTICS).limit(max_labelled)))  # in one order, so that reruns agree
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", accept: float = ACCEPT, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """One row per input row: doc_id, held_out, score (0 to 1, higher: label 1 is likelier), predicted.
 
-    Null counts as an empty text and is scored like one. Only the text goes into a score. Repeated rows are each scored; an
-    empty table gives no rows; other columns are ignored.
+    Null counts as an empty text and is scored like one, and texts of any length are taken whole. Only the text goes into a score.
+    Repeated rows are each scored alike; a score of just `accept` is predicted 1. An empty table gives no rows; other columns are
+    ignored, whatever their names. See train for repeated labels and for documents that are labelled.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     model = train(rows, labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("label")), max_labelled=max_labelled)

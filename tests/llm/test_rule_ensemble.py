@@ -70,3 +70,44 @@ def test_little_to_learn_from(spark, tables):
         assert len(scores) == 1 and 0.5 <= scores.pop() < 1
     assert classify(docs.limit(0), labels).count() == 0
     assert fit(spark.createDataFrame([], ", ".join(f"{s} double" for s in STATISTICS) + ", label double")).rules == ()
+
+
+def test_scores_against_brute_force(tables):
+    """Every score from the rules by hand, on statistics of each text by itself."""
+    from math import exp
+
+    docs, labels, _ = tables
+    model = train(docs.select("doc_id", "text"), labels.select("doc_id", F.col("quality").alias("label")))
+    want = []
+    for r in docs.collect():
+        s = {k: float(v[0]) for k, v in statistics([(r.text or "").encode()]).items()}
+        total = model.intercept + sum(w for rule, w in model.rules if all(low < s[name] <= high for name, low, high in rule.parts))
+        want.append((str(r.doc_id), round(1 / (1 + exp(-total)), 9)))
+    got = [(str(r.doc_id), round(r.score, 9)) for r in classify(docs, labels).collect()]
+    assert sorted(got) == sorted(want) and len(set(got)) > 5
+
+
+def test_statistics_against_plain_python():
+    import re
+
+    rng = random.Random(8)
+    for _ in range(80):
+        t = "".join(rng.choice(["a", "Bc", "ñ", " ", " ", "\n", "#", "|", "!", "7", ".", "ab ab", "\t"]) for _ in range(rng.randrange(0, 200)))
+        words, lines = re.findall(r"[^ \t\n\v\f\r]+", t), [x for x in t.split("\n") if re.search(r"[^ \t\n\v\f\r]", x)]
+        letters, upper = len(re.findall("[A-Za-z]", t)), len(re.findall("[A-Z]", t))
+        spaces = len(re.findall(r"[ \t\n\v\f\r]", t))
+        per = lambda n, of: n / max(of, 1)
+        want = {
+            "words": len(words), "word_length": per(len(t) - spaces, len(words)), "short_words": per(sum(len(w.encode()) <= 3 for w in words), len(words)), "distinct": per(len(set(words)), len(words)),
+            "repeated": per(sum(a == b for a, b in zip(words, words[1:])), len(words)), "upper": per(upper, letters), "digits": per(t.count("7"), len(t)), "symbols": per(t.count("#"), len(words)),
+            "bangs": per(t.count("!"), len(words)), "pipes": per(t.count("|"), len(words)), "stops": per(t.count("."), len(words)), "dup_lines": per(len(lines) - len(set(lines)), len(lines)),
+            "line_words": per(len(words), len(lines)), "other": per(len(t) - spaces - letters, len(t)),
+        }
+        assert {k: float(v[0]) for k, v in statistics([t.encode()]).items()} == pytest.approx(want), repr(t)
+
+
+def test_at_most_so_many_rows_are_fit_on(spark, tables):
+    docs, labels, _ = tables
+    many = docs.where("doc_id = 7").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(500))).alias("k")).select("doc_id", F.concat(F.lit("text "), F.repeat(F.lit("word "), F.col("k"))).alias("text"))
+    model = train(docs.select("doc_id", "text").unionByName(many), labels.select("doc_id", F.col("quality").alias("label")), max_labelled=50)
+    assert isinstance(model, RuleEnsemble)
