@@ -10,10 +10,12 @@ others are revisit records that refer to it.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.settle import shared_folder
 from .common import cut, read
 
 DATE = "2024-01-01T00:00:00Z"
@@ -37,6 +39,18 @@ def record_id(*key: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in cuts]), F.lit(">"))
 
 
+_ESCAPES = (("%", "%25"), ("\r", "%0D"), ("\n", "%0A"))
+
+
+def escaped(value: Column) -> Column:
+    """Without line ends, which would end a header field."""
+    return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), _ESCAPES, value.cast("string"))
+
+
+def unescaped(value: Column) -> Column:
+    return reduce(lambda c, e: F.replace(c, F.lit(e[1]), F.lit(e[0])), reversed(_ESCAPES), value)
+
+
 def header(date: str) -> Column:
     """The bytes of a record's header, without the empty line after it."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"))  # noqa: E731  null without a value
@@ -50,8 +64,8 @@ def header(date: str) -> Column:
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "sha1")),
         F.when(revisit, line("WARC-Profile", F.lit(PROFILE))),
         F.when(revisit, line("WARC-Refers-To", F.col("refers_to_record"))),
-        F.when(revisit, line("X-Refers-To-Page", F.col("refers_to"))),
-        line("X-Page", F.col("page_id")),
+        F.when(revisit, line("X-Refers-To-Page", escaped(F.col("refers_to")))),
+        line("X-Page", escaped(F.col("page_id"))),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("bytes"))),
     ]
@@ -86,7 +100,9 @@ def write_archive(pages: DataFrame, path: str, *, page_id: str = "page_id", url:
 
 
 def field(name: str) -> Column:
-    return F.nullif(F.regexp_extract(F.decode("header", "UTF-8"), rf"\r\n{name}: ([^\r\n]*)\r\n", 1), F.lit(""))
+    """The value of a header's field; null without the field."""
+    text = F.decode("header", "UTF-8")
+    return F.when(F.instr(text, f"\r\n{name}: ") > 0, F.regexp_extract(text, rf"\r\n{name}: ([^\r\n]*)\r\n", 1))
 
 
 def verified(payload: Column, sha256: Column) -> Column:
@@ -101,7 +117,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     facts = payloads.select("sha256", F.length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("actual"))
     kind = dict(headers.dtypes)["page_id"]
     parsed = headers.select(
-        field("X-Page").cast(kind).alias("page_id"), field("WARC-Type").alias("record_type"), field("X-Refers-To-Page").cast(kind).alias("refers_to"),
+        unescaped(field("X-Page")).cast(kind).alias("page_id"), field("WARC-Type").alias("record_type"), unescaped(field("X-Refers-To-Page")).cast(kind).alias("refers_to"),
         F.substring_index(field("WARC-Payload-Digest"), ":", -1).alias("payload_digest"), "sha256",
     )
     sure = F.when(F.col("payload_digest") == F.col("actual"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header's digest isn't its payload's")))
@@ -123,17 +139,16 @@ def parse_records(records: DataFrame) -> DataFrame:
     header = F.encode(F.concat(F.substring_index(F.decode("record", "UTF-8"), "\r\n\r\n", 1), F.lit("\r\n")), "UTF-8")
     kind = dict(records.dtypes)["page_id"]
     parsed = records.select(header.alias("header"), "payload").select(
-        field("X-Page").cast(kind).alias("page_id"), F.length("payload").cast("long").alias("payload_bytes"),
+        unescaped(field("X-Page")).cast(kind).alias("page_id"), F.length("payload").cast("long").alias("payload_bytes"),
         F.substring_index(field("WARC-Payload-Digest"), ":", -1).alias("payload_digest"),
-        field("WARC-Type").alias("record_type"), field("X-Refers-To-Page").cast(kind).alias("refers_to"), base32_sha1(F.col("payload")).alias("actual"),
+        field("WARC-Type").alias("record_type"), unescaped(field("X-Refers-To-Page")).cast(kind).alias("refers_to"), base32_sha1(F.col("payload")).alias("actual"),
     )
     sure = F.when(F.col("payload_digest") == F.col("actual"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header's digest isn't its payload's")))
     return parsed.select("page_id", "payload_bytes", sure.alias("payload_digest"), "record_type", "refers_to")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut(spark.range(0))  # names a folder where none is set
-    path = f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archive(read(spark, sf_dir, "pages"), path)
     return parse_records(reconstruct(spark, path))
 

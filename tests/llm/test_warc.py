@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from duolith.llm.warc import read_records, reconstruct, write_archive
+from duolith.llm.warc import parse_records, read_records, reconstruct, write_archive
 
 
 def digest(html):
@@ -77,3 +77,11 @@ def test_query_goes_through_whole_records(spark, tmp_path, monkeypatch):
     got = sorted(map(tuple, warc.query(spark, str(tmp_path)).collect()))
     assert len(paths) == 1 and got == sorted(map(tuple, read_records(spark, paths[0]).collect()))
     assert [(r[0], r[1], r[3], r[4]) for r in got] == [(1, 17, "response", None), (2, 0, "response", None), (3, 17, "revisit", 1), (4, 0, "revisit", 2)]
+
+
+def test_ids_that_headers_must_escape(spark, tmp_path):
+    rows = [("a\r\nX-Page: b", "u", "one"), ("", "u", "one"), ("50%0A", "u\n\n", "two"), (None, "u", "two"), ("z", None, None)]
+    write_archive(spark.createDataFrame(rows, "page_id string, url string, html string"), f"{tmp_path}/w")
+    for got in (read_records(spark, f"{tmp_path}/w"), parse_records(reconstruct(spark, f"{tmp_path}/w"))):
+        found = {r.page_id: (r.record_type, r.refers_to) for r in got.collect()}
+        assert found == {"": ("response", None), "a\r\nX-Page: b": ("revisit", ""), "50%0A": ("response", None), None: ("revisit", "50%0A"), "z": ("response", None)}
