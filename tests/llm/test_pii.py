@@ -86,3 +86,52 @@ def test_table(spark, tmp_path):
         want = [(hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in brute(t)).encode()).hexdigest(), *(sum(KINDS[k] == n for k, *_ in brute(t)) for n in BASE)) for t in texts]
         assert (r.base_sha256, r.n_email, r.n_ip, r.n_card, r.n_phone) in want
     assert find_pii(df.limit(0)).count() == 0
+
+
+def test_names_are_proposed_without_a_list():
+    found = lambda t: [t[a:b] for k, a, b, *_ in candidates(t, base_spans(t)) if KINDS[k] == "name"]
+    assert found("ask Dr. Hans Mueller now") == ["Dr. Hans Mueller"]
+    assert found("ask John Michael Smith now") == ["John Michael Smith"]
+    assert found("Contact Zorvan O'Quill-Brack, or Dear Élise Müller.") == ["Zorvan O'Quill-Brack", "Élise Müller"]
+    assert found("one Word alone, ALL CAPS HERE, Mr. Nobody") == ["Mr. Nobody"]
+
+
+def test_names_are_told_by_their_surroundings(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(3))
+    name = lambda: f"{word().capitalize()} {word().capitalize()}"
+    given = ["James", "Mary", "Hans", "Petra", "Jean", "Carmen"]
+    rows = [(i, f"{word()} {word()}, contact {rng.choice(given)} {word().capitalize()}, mail {word()}@{word()}.com") for i in range(80)]
+    rows += [(100 + i, f"{word()} {word()}, contact {name()}, mail {word()}@{word()}.com") for i in range(40)]
+    rows += [(200 + i, f"{word()} the {name()} {word()} {word()} and {name()} {word()}") for i in range(300)]
+    got = {r.doc_id: sum(s.kind == "name" for s in r.spans) for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == 1 for i in range(80))
+    assert sum(got[100 + i] for i in range(40)) >= 36  # in no gazetteer
+    assert sum(got[200 + i] for i in range(300)) == 0
+
+
+def test_estimation_against_plain_loops():
+    """Expectation-maximisation row by row, without the table of counts."""
+    from math import exp, log
+
+    rng = random.Random(3)
+    rows = [tuple(rng.choice((-1, 0, 1, 1 if i % 3 else -1)) for _ in range(3)) for i in range(400)]
+    patterns, counts = np.unique(np.array(rows), axis=0, return_counts=True)
+    share, odds, posterior = estimate(patterns, counts.astype(float), rounds=8)
+    prior = {0: (4, 2, 1), 1: (1, 2, 4)}
+    p = {c: [[x / 7 for x in prior[c]] for _ in range(3)] for c in (0, 1)}
+    s = 0.5
+    for _ in range(8):
+        post = []
+        for r in rows:
+            logs = [log(q) + sum(log(p[c][j][v + 1]) for j, v in enumerate(r)) for c, q in ((0, 1 - s), (1, s))]
+            post.append(1 / (1 + exp(logs[0] - logs[1])))
+        s = (sum(post) + 1) / (len(rows) + 2)
+        for c in (0, 1):
+            for j in range(3):
+                seen = [sum((x if c else 1 - x) for x, r in zip(post, rows) if r[j] == v) + prior[c][v + 1] for v in (-1, 0, 1)]
+                p[c][j] = [x / sum(seen) for x in seen]
+    assert abs(share - s) < 1e-9
+    assert np.abs(odds[:, 1] - np.array(p[1])).max() < 1e-9 and np.abs(odds[:, 0] - np.array(p[0])).max() < 1e-9
+    by = {tuple(x): v for x, v in zip(patterns.tolist(), posterior.tolist())}
+    assert max(abs(by[r] - x) for r, x in zip(rows, post)) < 1e-9
