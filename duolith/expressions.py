@@ -419,12 +419,45 @@ def implicants(rows: set[tuple], width: int) -> list[tuple]:
     return out
 
 
+def simplified(node: Node) -> Node:
+    """The query by absorption, without a truth table: what a sibling implies goes, and so does in a group what a sibling literal rules out.
+    It isn't always the shortest form."""
+    node = ordered(node)
+    while isinstance(node, Group):
+        lone = [x for x in node.items if not isinstance(x, Group)]
+        if any(replace(x, neg=not x.neg) in lone for x in lone):
+            return Const(node.op == "or")
+        items = []
+        for x in map(simplified, node.items):
+            if isinstance(x, Group):
+                left = tuple(y for y in x.items if isinstance(y, Group) or replace(y, neg=not y.neg) not in lone)
+                x = Group(x.op, left) if left else Const(node.op == "or")
+            items.append(x)
+        if any(isinstance(x, Const) for x in items):
+            stop = node.op == "or"
+            if any(isinstance(x, Const) and (x.value != x.neg) == stop for x in items):
+                return Const(stop)
+            items = [x for x in items if not isinstance(x, Const)]
+            if not items:
+                return Const(not stop)
+        parts = [frozenset(x.items) if isinstance(x, Group) and x.op != node.op else frozenset({x}) for x in items]
+        kept = [x for i, x in enumerate(items) if not any(parts[j] < parts[i] or (parts[j] == parts[i] and j < i) for j in range(len(items)) if j != i)]
+        new = ordered(Group(node.op, tuple(kept)))
+        if new == node:
+            break
+        node = new
+    return node
+
+
 def normalize(node: Node, most: int = 10) -> Node:
-    """The shortest of the query and of its minimal forms as an or of ands and as an and of ors; queries of many literals are only put in order."""
+    """The shortest of the query and of its minimal forms as an or of ands and as an and of ors. The truth table of a query has 2 ** literals
+    rows; one of more than `most` literals is simplified by absorption alone."""
     lits = plain_literals(node)
     plain = ordered(node)
-    if len(lits) > most or not lits:
+    if not lits:
         return plain
+    if len(lits) > most:
+        return min(simplified(plain), plain, key=sort_key)
     table = truth_table(node)
     forms = []
     for wanted, inner in ((True, "and"), (False, "or")):

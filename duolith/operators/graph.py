@@ -31,12 +31,12 @@ def grid_edges(points: DataFrame, reach: float, rid: str = "rid", x: str = "x",
     return a.join(b, ["cx", "cy"]).where((F.col("a") < F.col("b")) & near).select("a", "b")
 
 
-def connected_components(edges: DataFrame, most: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node, component: the least node that each can be reached from. Labels are handed on and jump to their label's label, so that the
     rounds grow with the logarithm of a component's diameter; each round is written to the checkpoint folder."""
     both = settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = settled(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label"))
-    for _ in range(most):
+    while True:  # labels only get smaller, so it ends
         around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         passed = labels.join(around, labels.node == around.a).select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jumps = passed.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
@@ -48,14 +48,16 @@ def connected_components(edges: DataFrame, most: int = 100) -> DataFrame:
     return labels.select("node", F.col("label").alias("component"))
 
 
-def hop_distances(edges: DataFrame, start: Column, most: int = 100) -> DataFrame:
-    """node, hops: the length of the shortest way from the nodes where `start` (on the column node) holds; others aren't listed."""
+def hop_distances(edges: DataFrame, start: Column, most: int | None = None) -> DataFrame:
+    """node, hops: the length of the shortest way from the nodes where `start` (on the column node) holds; others aren't listed. It goes
+    on until no node is new, one round a hop; most: nodes further off than that aren't looked for."""
     both = settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     seen = settled(both.select(F.col("a").alias("node")).distinct().where(start).withColumn("hops", F.lit(0)))
-    rim = seen
-    for k in range(1, most + 1):
+    rim, k = seen, 0
+    while most is None or k < most:
+        k += 1
         rim = settled(both.join(rim, both.a == rim.node).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(k)))
         if not rim.head(1):
             break
-        seen = seen.unionByName(rim)
+        seen = seen.unionByName(rim) if k % 20 else settled(seen.unionByName(rim))
     return seen

@@ -125,11 +125,27 @@ def segments(values: Sequence[float], counts: Sequence[float], k: int, criterion
     return [(float(v[a]), float(v[b - 1]), int(c[a:b].sum())) for a, b in zip(edges, edges[1:])]
 
 
+#: Distinct values of one column that a task is given at most.
+MOST_VALUES = 1_000_000
+
+
+def coarse(histogram: DataFrame, cells: int = MOST_VALUES // 10) -> DataFrame:
+    """cid, value, n with at most so many values a column: those in a cell of an equal-width grid become the least of them."""
+    ends = histogram.groupBy("cid").agg(F.min("value").alias("_a"), F.max("value").alias("_b"))
+    width = (F.col("_b") - F.col("_a")) / cells
+    cell = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("_a")) / width), F.lit(cells - 1))).otherwise(0)
+    return histogram.join(ends, "cid").groupBy("cid", cell.alias("_cell")).agg(F.min("value").alias("value"), F.sum("n").alias("n")).drop("_cell")
+
+
 def bucketize(histogram: DataFrame, method: str, k: int = 25, *, most: float | None = None, lower: float = 0, upper: float = 1, criterion: str = "manual") -> DataFrame:
     """cid, bucket, low, high, n of each column. histogram: cid, value, n, the distinct values of one or more columns.
 
-    One task has the distinct values of a column; columns are spread over tasks.
+    One task has the distinct values of a column; columns are spread over tasks. A column with more than MOST_VALUES of them is
+    refused: `coarse` puts them into fewer first.
     """
+    many = histogram.groupBy("cid").agg(F.count("*").alias("n")).where(F.col("n") > MOST_VALUES).head(1)
+    if many:
+        raise ValueError(f"{many[0]['cid']} has {many[0]['n']} distinct values, more than {MOST_VALUES}; pass the histogram through coarse() first")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("value")
@@ -173,47 +189,84 @@ def pure_blocks(histogram: DataFrame, numerator: Iterable[str], denominator: Ite
     return blocks.groupBy("block").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("num").alias("num"), F.sum("den").alias("den"))
 
 
-def best_interval(blocks: DataFrame, num_out: int, den_out: int, min_in: int = 1) -> DataFrame:
-    """low, high, num, den, acc of the best interval of blocks: the accuracy is (num_out + num) / (den_out + num + den) with the sums inside.
+def best_interval(blocks: DataFrame, num_out: int, den_out: int, min_in: int = 1, key: Sequence[str] = ()) -> DataFrame:
+    """The key, low, high, num, den, acc of the best interval of blocks: the accuracy is (num_out + num) / (den_out + num + den) with the sums
+    inside, at least min_in rows. Of equally good ones the shortest, then the first.
 
-    Prefix sums by a window, all pairs of ends by a self-join with start <= end; the blocks of a column are few.
+    blocks: the key (of a column), block, low, high, num, den. The blocks of one column are walked over in one task, a few passes of
+    running sums and no pairs of ends; columns are spread over tasks.
     """
-    order = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    sums = blocks.select("block", "low", "high", "num", "den", F.sum("num").over(order).alias("s_num"), F.sum("den").over(order).alias("s_den"))
-    a = sums.select(F.col("block").alias("a"), "low", (F.col("s_num") - F.col("num")).alias("a_num"), (F.col("s_den") - F.col("den")).alias("a_den"))
-    b = sums.select(F.col("block").alias("b"), "high", F.col("s_num").alias("b_num"), F.col("s_den").alias("b_den"))
-    pairs = a.join(b, F.col("a") <= F.col("b")).withColumn("num", F.col("b_num") - F.col("a_num")).withColumn("den", F.col("b_den") - F.col("a_den"))
-    acc = (F.lit(num_out) + F.col("num")) / (F.lit(den_out) + F.col("num") + F.col("den"))
-    scored = pairs.where(F.col("num") + F.col("den") >= min_in).withColumn("acc", acc)
-    best = scored.agg(F.max(F.struct("acc", (F.col("a") - F.col("b")).alias("short"), (-F.col("a")).alias("first"), "low", "high", "num", "den")).alias("m"))
-    return best.where("m IS NOT NULL").select("m.low", "m.high", "m.num", "m.den", "m.acc")
-
-
-def running_cover(num: Sequence[float], den: Sequence[float], num_out: float, den_out: float, negative: bool = False) -> tuple[int, int, float] | None:
-    """First and last block and accuracy of the best interval: (num_out + num) / (den_out + num + den) with the sums inside, or with
-    negative those of the blocks that the interval leaves.
 
-    For a trial accuracy the best interval has the largest sum of num - accuracy * (num + den), which one pass finds; its own
-    accuracy is the next trial, until none is better. A few passes, where the blocks are too many for all pairs of ends.
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        num, den = pdf["num"].to_numpy(), pdf["den"].to_numpy()
+        found = best_run(num, num + den, num_out, den_out, least=min_in, sizes=num + den)
+        if found is None:
+            return pdf.iloc[:0].assign(acc=0.0)[[*key, "low", "high", "num", "den", "acc"]]
+        i, j, acc = found
+        head = {k: [pdf[k].iloc[0]] for k in key}
+        return pd.DataFrame(head | {"low": [pdf["low"].iloc[i]], "high": [pdf["high"].iloc[j]], "num": [int(num[i : j + 1].sum())], "den": [int(den[i : j + 1].sum())], "acc": [acc]})
+
+    types = dict(blocks.dtypes)
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in key), f"low {types['low']}", f"high {types['high']}", "num long", "den long", "acc double"])
+    return blocks.groupBy(*(key or [F.lit(0)])).applyInPandas(one, schema)
+
+
+def best_run(a: Sequence[float], b: Sequence[float], num_out: float, den_out: float, negative: bool = False, least: float = 0, sizes: Sequence[float] | None = None) -> tuple[int, int, float] | None:
+    """First and last block and ratio of the best interval: (num_out + sum of a) / (den_out + sum of b) inside, or with negative outside it.
+    sizes and least: only intervals with so much in them. Of equally good ones the shortest, then the first; none without any.
+
+    For a trial ratio the best interval has the largest sum of a - ratio * b, which one pass of running sums finds; its own
+    ratio is the next trial, until none is better. A few passes, however many blocks.
     """
-    if not len(num):
+    n = len(a)
+    if not n:
         return None
-    a, b = np.asarray(num, float), np.asarray(num, float) + np.asarray(den, float)
+    a, b = np.asarray(a, float), np.asarray(b, float)
     top, bottom = (num_out + a.sum(), den_out + b.sum()) if negative else (num_out, den_out)
     sign = -1.0 if negative else 1.0
     sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in (a, b)]
-    trial, best = -np.inf, None
-    while True:
-        gain = sign * (a - (trial if np.isfinite(trial) else 0.0) * b)
-        upto = np.concatenate([[0.0], np.cumsum(gain)])
-        starts = np.minimum.accumulate(upto[:-1])
-        j = int(np.argmax(upto[1:] - starts))
-        i = int(np.argmin(upto[: j + 1]))
-        x, y = (s[j + 1] - s[i] for s in sums)
-        acc = (top + sign * x) / ((bottom + sign * y) or 1.0)
-        if acc <= trial + 1e-12:
-            return best
-        trial, best = acc, (i, j, float(acc))
+    held = np.concatenate([[0.0], np.cumsum(np.ones(n) if sizes is None else np.asarray(sizes, float))])
+    # for each end the last start at which the interval is large enough
+    latest = np.minimum(np.searchsorted(held, held[1:] - least, side="right") - 1, np.arange(n))
+    ends = np.flatnonzero(latest >= 0)
+    if not len(ends):
+        return None
+
+    def ratio(i: int, j: int) -> float:
+        x, y = (top + sign * (sums[0][j + 1] - sums[0][i])), (bottom + sign * (sums[1][j + 1] - sums[1][i]))
+        return x / y if y else (np.inf if x else 0.0)
+
+    best = (0, int(ends[0]))
+    trial = ratio(*best)
+    while np.isfinite(trial):
+        upto = sign * (sums[0] - trial * sums[1])
+        lowest = np.minimum.accumulate(upto[:-1])
+        gains = upto[ends + 1] - lowest[latest[ends]]
+        k = int(np.argmax(gains))
+        j = int(ends[k])
+        i = int(np.argmin(upto[: latest[j] + 1]))
+        new = ratio(i, j)
+        if new <= trial * (1 + 1e-15):
+            break
+        best, trial = (i, j), new
+    if not np.isfinite(trial):
+        return (*best, trial)
+    # all that are as good: of each such end the last such start
+    scale = 1e-9 * max(1.0, np.abs(upto).max())
+    ties = []
+    for k in np.flatnonzero(gains >= gains.max() - scale).tolist():
+        j = int(ends[k])
+        near = np.flatnonzero(upto[: latest[j] + 1] <= lowest[latest[j]] + scale)
+        ties += [(j - int(i), int(i), j) for i in near[::-1][:8] if ratio(int(i), j) >= trial * (1 - 1e-12)]
+    _, i, j = min(ties, default=(0, *best))
+    return i, j, float(ratio(i, j))
+
+
+def running_cover(num: Sequence[float], den: Sequence[float], num_out: float, den_out: float, negative: bool = False) -> tuple[int, int, float] | None:
+    """best_run for an accuracy: (num_out + num) / (den_out + num + den) with the sums inside, or outside."""
+    a, b = np.asarray(num, float), np.asarray(den, float)
+    return best_run(a, a + b, num_out, den_out, negative)
 
 
 def category_literal(var: str, chosen: Sequence[str], every: Sequence[str], negation: bool = True) -> Literal | None:

@@ -31,8 +31,9 @@ def band_rows(bands: int, threshold: float) -> int:
 
 
 def coefficients(n: int, bands: int, rows: int, seed: int = 0) -> list[list[tuple[int, int]]]:
+    """a from 1 on, since a factor of 0 would give all rows one hash, and b from 0, both below n."""
     rng = np.random.default_rng(seed)
-    return [[(int(a), int(b)) for a, b in rng.integers(0, max(n, 1), (rows, 2))] for _ in range(bands)]
+    return [[(int(a), int(b)) for a, b in rng.integers((1, 0), max(n, 2), (rows, 2))] for _ in range(bands)]
 
 
 def out_factor(score: float, rows: int, min_out: int) -> float:

@@ -43,8 +43,10 @@ def read_csv(spark: SparkSession, path: str, *, delimiter: str | None = None, na
     Rows that begin with # are skipped. A first row with numbers is data, and the columns are v0, v1, ... A last header cell
     type=B, C or N forces all columns, [1]name, [2]name, [3]name one column. Repeated names get (duplicate#k).
     """
-    lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    first = lines.limit(1).collect()
+    # of several files each has the header; the first line is that of the first file by name, and of its first block
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    lines = spark.read.text(path).select("value", at.alias("at")).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    first = lines.agg(F.min_by("value", "at").alias("value")).where("value IS NOT NULL").collect()
     if not first:
         raise ValueError(f"no rows in {path}")
     delimiter = delimiter or sniff(first[0]["value"])

@@ -1,3 +1,4 @@
+import random
 from itertools import product
 
 import pytest
@@ -92,3 +93,20 @@ def test_column_kinds(spark):
             checked_expression(bad, {"n"})
     with pytest.raises(QueryError):
         to_column(parse("?n"))
+
+
+def test_long_queries_are_simplified_by_absorption():
+    from duolith.expressions import normalize, simplified
+
+    names = [f"v{i}" for i in range(14)]
+    long = " | ".join(names)
+    assert show(normalize(parse(f"({long}) & v0"))) == "v0"
+    assert show(normalize(parse(f"({long}) & !v0"))) == show(normalize(parse(f"({' | '.join(names[1:])}) & !v0")))
+    rng = random.Random(3)
+    for _ in range(300):
+        node = parse(" | ".join("(" + " & ".join(rng.choice(["", "!"]) + rng.choice("abcd") for _ in range(rng.randrange(2, 4))) + ")" for _ in range(rng.randrange(2, 5))))
+        new = simplified(node)
+        for row in product([False, True], repeat=4):
+            values = {Bool(n): v for n, v in zip("abcd", row)}
+            assert truth(new, values) == truth(node, values)
+        assert length(new) <= length(ordered(node))

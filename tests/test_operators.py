@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -267,3 +269,59 @@ def test_graph(spark):
 def test_columns_are_plain_spark(nine):
     plan = nine.where(to_column(parse("l & r")))._jdf.queryExecution().toString()
     assert "Python" not in plan
+
+
+def test_best_intervals_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.integers(1, 12))
+        num, den = rng.integers(0, 6, n), rng.integers(0, 6, n)
+        a, b, least = int(rng.integers(0, 5)), int(rng.integers(1, 9)), int(rng.integers(0, 8))
+        every = [((a + num[i : j + 1].sum()) / (b + (num + den)[i : j + 1].sum()), i - j, -i) for i in range(n) for j in range(i, n) if (num + den)[i : j + 1].sum() >= least]
+        got = L.best_run(num, num + den, a, b, least=least, sizes=num + den)
+        if not every:
+            assert got is None
+            continue
+        acc, short, first = max((round(x, 12), y, z) for x, y, z in every)
+        assert got[2] == pytest.approx(acc) and (got[0] - got[1], -got[0]) == (short, first), (num, den, a, b, least)
+
+
+def test_p_values_of_a_billion_rows_are_quick():
+    began = time.perf_counter()
+    assert 0 < hypergeometric_tail(250_050_000, 10**9, 5 * 10**8, 5 * 10**8) < 1e-8
+    assert binomial_tail(300_000_000, 10**9, 0.3) == pytest.approx(0.5, abs=1e-4)
+    assert time.perf_counter() - began < 0.5
+    for k, n, a, b in ((90, 1000, 100, 200), (15, 30, 20, 25), (20, 30, 20, 25), (1, 2, 1, 1), (0, 5, 0, 3)):
+        assert hypergeometric_tail(k, n, a, b) == pytest.approx(exact_overlap(k, n, a, b), rel=1e-9)
+
+
+def test_columns_with_too_many_values_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_VALUES", 50)
+    histogram = spark.range(200).select(F.lit("c").alias("cid"), F.col("id").cast("double").alias("value"), F.lit(2).alias("n"))
+    with pytest.raises(ValueError, match="coarse"):
+        L.bucketize(histogram, "collapsed", 4)
+    rows = L.coarse(histogram, 40)
+    assert rows.count() == 40 and rows.agg(F.sum("n")).first()[0] == 400
+    assert L.bucketize(rows, "collapsed", 4).count() >= 4
+
+
+def test_hops_and_components_have_no_limit(spark):
+    edges = spark.range(130).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert G.connected_components(edges).where("component <> 0").count() == 0
+    assert G.hop_distances(edges.where("a < 30"), F.col("node") == 0, 25).agg(F.max("hops")).first()[0] == 25
+    assert G.hop_distances(edges.where("a < 30"), F.col("node") == 0).agg(F.max("hops")).first()[0] == 30
+
+
+def test_swaps_of_a_large_table_are_dealt_to_blocks(spark):
+    ones = spark.range(60).select(F.col("id").alias("rid"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("cid")).where((F.col("rid") * 7 + F.col("cid") * 5) % 4 == 0)
+    out = K.swapped_blocks(ones, 2, 20, swaps=200).persist()
+    for c in ("rid", "cid"):
+        assert sorted(map(tuple, out.groupBy(c).count().collect())) == sorted(map(tuple, ones.groupBy(c).count().collect()))
+    assert out.distinct().count() == ones.count() and out.exceptAll(ones).count() > 0
+
+
+def test_fold_columns(spark):
+    df = K.equal_folds(spark.range(50).select(F.col("id").alias("rid"), (F.col("id") % 2 == 0).alias("a"), F.lit("x").alias("same")), 5)
+    named, of = K.with_fold_column(df)
+    assert of == {"folds_split": 2} and K.fold_candidates(named) == ["a", "folds_split"]
+    assert sorted(r.fold for r in K.column_folds(named, "folds_split").select("fold").distinct().collect()) == [f"F:F:{i}" for i in range(5)]
