@@ -26,6 +26,22 @@ def literal_parts(df: DataFrame, left: Node, right: Node, candidates: Sequence[L
     return wide.select("part", F.explode(F.array(*rows)).alias("r")).select("r.lit", "part", "r.n_true", "r.n_false", "r.n_missing")
 
 
+def literal_parts_of(df: DataFrame, pairs: Sequence[tuple[Node, Node]], candidates: Sequence[Literal]) -> DataFrame:
+    """item, lit, part, n_true, n_false, n_missing: literal_parts for several redescriptions in one pass over the rows."""
+    cols = [to_column(c) for c in candidates]
+    names = F.array(*(F.struct(F.lit(i).alias("item"), part(to_column(l), to_column(r)).alias("part")) for i, (l, r) in enumerate(pairs)))
+    marked = df.select(*(c.alias(f"v{i}") for i, c in enumerate(cols)), F.explode(names).alias("p"))
+    sums = [f(F.col(f"v{i}")).alias(f"{i}_{k}") for i in range(len(cols)) for k, f in (("t", F.count_if), ("f", lambda c: F.count_if(~c)), ("m", lambda c: F.count_if(c.isNull())))]
+    wide = marked.groupBy("p.item", "p.part").agg(*sums)
+    rows = [F.struct(F.lit(i).alias("lit"), F.col(f"{i}_t").alias("n_true"), F.col(f"{i}_f").alias("n_false"), F.col(f"{i}_m").alias("n_missing")) for i in range(len(cols))]
+    return wide.select("item", "part", F.explode(F.array(*rows)).alias("r")).select("item", "r.lit", "part", "r.n_true", "r.n_false", "r.n_missing")
+
+
+def joined(items: Sequence[Node], op: str = "and") -> Node:
+    """The items as one query."""
+    return items[0] if len(items) == 1 else Group(op, tuple(items))
+
+
 def moved_counts(op: str, side: int, neg: bool) -> list[Column]:
     """Aggregates over rows of literal_parts for one literal: the counts of the parts after joining it (negated if neg) by op to a side."""
     true, false = ("n_false", "n_true") if neg else ("n_true", "n_false")

@@ -142,8 +142,127 @@ def test_normalized_items_keep_their_rows(data):
     assert x["left"] == "a" and show(x["queries"][1]) == "c"
 
 
-def test_settings_that_no_run_carries_out_are_rejected():
-    for setting in ({"mining_algo": "trees"}, {"pair_sel": "alternate"}, {"inits_productivity": "high"}):
+def test_settings_that_are_unknown_are_rejected():
+    for setting in ({"mining_algo": "magic"}, {"pair_sel": "worst"}, {"inits_productivity": "none"}, {"method_buckets": "round"}):
         with pytest.raises(ValueError, match=next(iter(setting))):
             M.Constraints(**setting)
     assert M.Constraints().mining_algo == "greedy"
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    """Rows where an odd interval of n and a set of categories go with r, and another interval extends it."""
+    rng = np.random.default_rng(12)
+    n, m = rng.integers(0, 1000, 1500) / 10, rng.integers(0, 400, 1500) / 4
+    cat, b = rng.choice(list("uvwxyz"), 1500), rng.random(1500) < 0.5
+    r = (n >= 31.4) & (n <= 57.9) & (m <= 61.25)
+    s = np.isin(cat, ["v", "y"])
+    rows = [(i, float(n[i]) if i % 50 else None, float(m[i]), str(cat[i]), bool(b[i]), bool(r[i]), "p" if s[i] else ("q" if b[i] else "o")) for i in range(1500)]
+    df = spark.createDataFrame(rows, "rid long, n double, m double, cat string, b boolean, r boolean, t string").cache()
+    return M.Data(df, kinds=({"n": 3, "m": 3, "cat": 2, "b": 1}, {"r": 1, "t": 2}))
+
+
+def test_an_interval_that_is_in_no_list_is_found(planted):
+    c = M.Constraints(min_itm_in=0.02, min_itm_out=0.1, max_inits=3, max_var_s0=2, max_var_s1=1, batch_cap=2, nb_buckets=8, max_cutpoints=1200, parts_type="rejective")
+    found = M.mine(M.Data(planted.rows, kinds=(planted.kinds[0], {"r": 1})), c)
+    best = found[0]
+    assert best["acc"] > 0.95, best
+    # the block edges of 8 buckets are elsewhere; the interval of the extension is cut where the data changes
+    bound = best["queries"][0].items[1]
+    near = {"n": (31.4, 57.9), "m": (None, 61.25)}[bound.var]
+    assert all(v is None or abs(v - x) <= 0.5 for v, x in zip(near, (bound.low, bound.high)))
+    exact = evaluate(planted.rows, [best["queries"]], "rejective").first()
+    assert best["acc"] == pytest.approx(exact["acc"]) and all(best[p] == exact[p] for p in ("Exx", "Exo", "Eox", "Eoo", "Emx", "Emo"))
+
+
+def test_categories_are_joined(planted):
+    c = M.Constraints(min_itm_in=0.02, min_itm_out=0.1, max_inits=20, max_var_s0=1, max_var_s1=1, nb_buckets=8)
+    pairs = M.initial_pairs(planted, c)
+    assert any((x["left"], x["right"]) == ("[cat={v,y}]", "[t=p]") and x["acc"] == 1.0 for x in pairs)
+    assert all(x["acc"] == pytest.approx(evaluate(planted.rows, [x["queries"]]).first()["acc"]) for x in pairs)
+    single = M.initial_pairs(planted, M.Constraints(**(vars(c) | {"multi_cats": False})))
+    assert not any("{" in x["left"] for x in single)
+
+
+def test_pairs_of_columns_against_brute_force(planted):
+    from itertools import product
+
+    from duolith.operators import search as Q
+
+    c = M.Constraints(min_itm_in=0.02, min_itm_out=0.1, nb_buckets=5, multi_cats=False, inits_productivity="extra", parts_type="optimistic")
+    data = M.Data(planted.rows, kinds=planted.kinds)
+    sides, _ = data.coarse(c)
+    every = []
+    for a, b in product(*sides):
+        lits = [[x.literal([i, j] if x.kind == 3 else [i]) for i, j in Q.choices(x.kind, 2 if x.kind == 1 else len(x))] for x in (a, b)]
+        every += list(product(*lits))
+    want = sorted((round(x["acc"], 9) for x in M.scored(data, c, every) if M.enough(data, c, x)), reverse=True)
+    got = [round(x["acc"], 9) for x in M.initial_pairs(data, M.Constraints(**(vars(c) | {"max_inits": 400})))]
+    assert got == want[: len(got)] and len(got) == min(400, len(want))
+
+
+@pytest.mark.parametrize("kind", ["none", "pessimistic", "positive", "negative"])
+def test_extensions_against_brute_force(planted, kind):
+    from duolith.operators import search as Q
+
+    c = M.Constraints(min_itm_in=0.02, min_itm_out=0.05, min_itm_c=3, max_cutpoints=12, multi_cats=False, parts_type=kind)
+    data = M.Data(planted.rows, kinds=planted.kinds)
+    start = M.scored(data, c, [(parse("b"), parse("r"))])[0]
+    sides, _ = data.fine(c)
+    options = M._searched(data, c, [start], None)[0, 0]
+    seen = set()
+    for acc, op, neg, literal, stats in options:
+        queries = M.X.apply_extension(start["queries"], 0, op, literal, neg)
+        row = evaluate(data.rows, [queries], kind).first()
+        assert acc == pytest.approx(row["acc"]) and all(stats[p] == row[p] for p in stats)
+        atoms = next(a for a in sides[0] if a.var == literal.var)
+        every = [M.X.apply_extension(start["queries"], 0, op, x, neg) for i, j in Q.choices(atoms.kind, len(atoms)) if (x := atoms.literal([i, j] if atoms.kind == 3 else [i])) is not None]
+        best = 0.0
+        for x in M.scored(data, c, every):
+            old, new = (M.measured({p: y[p] for p in M.PARTS}, "over", kind) for y in (start, x))
+            union = lambda m: data.n - m["n_out"]
+            change = union(old) - union(new) if op == "and" else new["n_inter"] - old["n_inter"]
+            if M.enough(data, c, x) and change >= 3:
+                best = max(best, x["acc"])
+        assert acc == pytest.approx(best)
+        seen.add((literal.var, op, neg))
+    assert len({v for v, *_ in seen}) >= 2
+
+
+def test_lsh_suggests_what_an_exhaustive_search_finds(planted):
+    c = M.Constraints(min_itm_in=0.02, min_itm_out=0.1, max_inits=4, max_var_s0=2, max_var_s1=1, batch_cap=2, nb_buckets=8, max_cutpoints=1200, parts_type="rejective", lsh_extensions=True, lsh_nb_rows=2, lsh_nb_bands=30, lsh_nb_bands_ext=40, lsh_nb_rows_ext=1)
+    data = M.Data(planted.rows, kinds=(planted.kinds[0], {"r": 1}))
+    pairs = M.initial_pairs(data, c)
+    assert pairs and all(x["acc"] == pytest.approx(evaluate(data.rows, [x["queries"]], "rejective").first()["acc"]) for x in pairs)
+    # the columns that the buckets suggest have the best extension of each pair
+    tried = M.suggestions(data, c, pairs, 100)
+    every, best = M._searched(data, c, pairs, None), lambda options: max(o[0] for o in options)
+    some = M._searched(data, c, pairs, tried)
+    assert all(best(some[k]) == best(every[k]) for k in every if best(every[k]) > pairs[k[0]]["acc"])
+    found = M.mine(data, c)
+    assert max(x["acc"] for x in found) > 0.6
+    assert 0 < len(M.suggestions(data, c, pairs[:2], 3)) <= 3
+    none = M.mine(data, M.Constraints(**(vars(c) | {"lsh_nb_total_exts": 0})))
+    assert [x["queries"] for x in none] == [x["queries"] for x in M.select_final(data, c, pairs)]
+
+
+def test_orders_and_likeness(planted):
+    base = {"min_itm_in": 0.02, "min_itm_out": 0.1, "nb_buckets": 6, "max_inits": 6}
+    of = lambda **more: M.initial_pairs(planted_data, M.Constraints(**base, **more))
+    planted_data = M.Data(planted.rows, kinds=planted.kinds)
+    columns = lambda items: {(x["queries"][0].var, x["queries"][1].var) for x in items}
+    low = of(inits_productivity="low", pair_sel="fifo")
+    assert len(columns(low)) == len(low)
+    assert [x["left"] for x in low] == sorted(x["left"] for x in low)
+    assert [x["acc"] for x in of()] == sorted((x["acc"] for x in of()), reverse=True)
+    assert len(columns(of(pair_sel="alternate", inits_productivity="extra"))) >= len(columns(of(inits_productivity="extra")))
+    grouped = M.Data(planted.rows, kinds=planted.kinds, groups={"cat": 1, "t": 1})
+    assert ("cat", "t") not in columns(M.initial_pairs(grouped, M.Constraints(**base)))
+
+
+@pytest.mark.parametrize("algo", ["itemsets", "cartwheel", "layered"])
+def test_other_algorithms_are_reached(planted, algo):
+    data = M.Data(planted.rows, kinds=planted.kinds)
+    c = M.Constraints(min_itm_in=0.02, min_itm_out=0.1, max_inits=2 if algo != "itemsets" else 40, max_var_s0=2, max_var_s1=1, nb_buckets=6, mining_algo=algo, tree_depth=2, tree_rounds=3, parts_type="rejective", init_minscore=0.1)
+    found = M.mine(data, c)
+    assert found and all(x["acc"] == pytest.approx(evaluate(data.rows, [x["queries"]], "rejective").first()["acc"]) for x in found)
