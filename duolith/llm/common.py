@@ -44,6 +44,19 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             yield batch.slice(start)
 
 
+#: Bytes of an Arrow batch that is sent to a worker or back, unless a row alone has more.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session sends Arrow batches of BATCH_BYTES from now on: by default they hold up to 10,000 rows and 64 MB, several times
+    in each task's memory outside of the heap. A limit that the session was started with stays."""
+    name, session = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    if not session.sparkContext.getConf().contains(name):
+        session.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def release() -> None:
     """Give free memory back at the end of a task: Python workers live on, and beside them the next stage needs it."""
     pa.default_memory_pool().release_unused()
@@ -76,7 +89,7 @@ def map_texts(df: DataFrame, fn: Callable[[list], dict[str, list]], schema: str,
             done()
         release()
 
-    return df.mapInArrow(run, out)
+    return small_batches(df).mapInArrow(run, out)
 
 
 def ddl(df: DataFrame, *names: str) -> str:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, aside, cut, ddl, map_texts, one_of_each, read, release
+from .common import SPACES, aside, cut, ddl, map_texts, one_of_each, read, release, small_batches
 from .components import components
 
 N = 5
@@ -249,7 +249,7 @@ def by_block_pair(rows: DataFrame, fn: Callable[[int, bool, tuple, list[dict], l
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), out)], schema=out)
         release()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return small_batches(rows).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def similar(rows: DataFrame, n: int, threshold: float, block: int, tolerance: float) -> DataFrame:
