@@ -127,6 +127,15 @@ def row_and_column_sums(long: DataFrame) -> tuple[DataFrame, DataFrame]:
     return long.groupBy("side", "rid").agg(*stats), long.groupBy("side", "cid").agg(*stats)
 
 
+def recomputed(df: DataFrame, derived: dict[str, str]) -> DataFrame:
+    """df with its derived columns computed anew from the other columns, by checked expressions, each from those before it."""
+    from ..expressions import checked_expression
+
+    for name, sql in derived.items():
+        df = df.withColumn(name, F.expr(checked_expression(sql, set(df.columns))))
+    return df
+
+
 def subset(df: DataFrame, mapping: DataFrame, rid: str = "rid") -> DataFrame:
     """Select or repeat rows: mapping (old, new) gives each old row's new numbers."""
     return df.join(mapping.select(F.col("old").alias(rid), "new"), rid).withColumn(rid, F.col("new")).drop("new")

@@ -173,6 +173,18 @@ def part_histogram(df: DataFrame, value: str, part: Column) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value"), part.alias("part")).agg(F.count("*").alias("n"))
 
 
+def feasible(histogram: DataFrame, side: int, min_in: int, min_out: int) -> DataFrame:
+    """op, possible: whether some interval of a column could keep the bounds when it is joined to a side. histogram: value, part, n.
+
+    By and, what is in both may stay, and what only the side holds for may go; by or, what only the other side holds for may come.
+    """
+    n = {p: F.coalesce(F.sum(F.when(F.col("part") == p, F.col("n"))), F.lit(0)) for p in ("Exx", "Exo", "Eox", "Eoo")}
+    mine, theirs = (n["Exo"], n["Eox"]) if side == 0 else (n["Eox"], n["Exo"])
+    tests = {"and": (n["Exx"] >= min_in) & (n["Eoo"] + mine >= min_out), "or": (n["Exx"] + theirs >= min_in) & (n["Eoo"] >= min_out)}
+    made = histogram.agg(*(t.alias(op) for op, t in tests.items()))
+    return made.select(F.explode(F.array(*(F.struct(F.lit(op).alias("op"), F.col(f"`{op}`").alias("possible")) for op in tests))).alias("e")).select("e.*")
+
+
 def pure_blocks(histogram: DataFrame, numerator: Iterable[str], denominator: Iterable[str]) -> DataFrame:
     """block, low, high, num, den: runs of neighbouring values that add to the numerator alone or to the denominator alone, as one block;
     a value that adds to both is a block of its own, and one that adds to none belongs to no block.
@@ -209,7 +221,7 @@ def best_interval(blocks: DataFrame, num_out: int, den_out: int, min_in: int = 1
 
     types = dict(blocks.dtypes)
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in key), f"low {types['low']}", f"high {types['high']}", "num long", "den long", "acc double"])
-    return blocks.groupBy(*(key or [F.lit(0)])).applyInPandas(one, schema)
+    return blocks.withColumn("_one", F.lit(0)).groupBy(*(key or ["_one"])).applyInPandas(one, schema)
 
 
 def best_run(a: Sequence[float], b: Sequence[float], num_out: float, den_out: float, negative: bool = False, least: float = 0, sizes: Sequence[float] | None = None) -> tuple[int, int, float] | None:

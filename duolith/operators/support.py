@@ -134,6 +134,22 @@ def overlap(df: DataFrame, a: tuple[Node, Node], b: tuple[Node, Node]) -> DataFr
     return counts.select("n_inter", "n_union", ratio(F.col("n_inter"), F.col("n_union")).alias("ratio"), ratio(F.col("n_inter"), F.col("n_least")).alias("fract_min"))
 
 
+def overlaps(df: DataFrame, a: tuple[Node, Node], b: tuple[Node, Node]) -> DataFrame:
+    """what (rows, cols, area), n_inter, n_union, ratio, fract_min of two pairs of queries: of the rows where both sides hold, of the columns
+    that the queries name, and of the rectangles of both."""
+    from ..expressions import variables
+
+    names = [set().union(*({(s, v) for v in variables(q)} for s, q in enumerate(p))) for p in (a, b)]
+    x, y = (to_column(l) & to_column(r) for l, r in (a, b))
+    n = df.agg(F.count_if(x & y).alias("i"), F.count_if(x).alias("x"), F.count_if(y).alias("y"))
+    cx, cy, ci = (F.lit(len(c)).cast("long") for c in (*names, names[0] & names[1]))
+    i, x, y = (F.col(c) for c in "ixy")
+    rows = [("rows", i, x, y), ("cols", ci, cx, cy), ("area", i * ci, x * cx, y * cy)]
+    made = F.array(*(F.struct(F.lit(w).alias("what"), k.alias("n_inter"), (p + q - k).alias("n_union"), F.least(p, q).alias("n_least")) for w, k, p, q in rows))
+    out = n.select(F.explode(made).alias("r")).select("r.*")
+    return out.select("what", "n_inter", "n_union", ratio(F.col("n_inter"), F.col("n_union")).alias("ratio"), ratio(F.col("n_inter"), F.col("n_least")).alias("fract_min"))
+
+
 def negate_parts(side: int) -> dict[str, str]:
     """Where each part goes when a side's query is negated."""
     flip = str.maketrans("xo", "ox")

@@ -534,13 +534,6 @@ def itemset_redescriptions() -> tuple[Query, str]:
     return run, T + sql
 
 
-def similar_height_buckets() -> tuple[Query, None]:
-    def run(s: SparkSession, d: str) -> DataFrame:
-        return L.bucketize(L.value_counts(sides(s, d), "qty").withColumn("cid", F.lit("qty")), "similar-height", 20)
-
-    return run, None
-
-
 def mined_redescriptions() -> tuple[Query, None]:
     def run(s: SparkSession, d: str) -> DataFrame:
         data = M.Data(sides(s, d).persist(), (LEFTS, RIGHTS))
@@ -590,7 +583,6 @@ _ALL: dict[str, Callable[[], tuple[Query, str | None]]] = {
     "cutpoint_blocks": cutpoint_blocks,
     "best_interval_prefix_sums": best_interval_prefix_sums,
     "equal_width_buckets": equal_width_buckets,
-    "similar_height_buckets": similar_height_buckets,
     "minhash_signatures": minhash_signatures,
     "lsh_band_candidates": lsh_band_candidates,
     "lsh_extension_candidates": lsh_extension_candidates,
@@ -622,9 +614,15 @@ _ALL: dict[str, Callable[[], tuple[Query, str | None]]] = {
 }
 
 
+def _every() -> dict[str, Callable[[], tuple[Query, str | None]]]:
+    from .catalogue_more import ALL
+
+    return _ALL | ALL
+
+
 def queries() -> dict[str, Query]:
-    return {name: make()[0] for name, make in _ALL.items()}
+    return {name: make()[0] for name, make in _every().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, make in _ALL.items() if (sql := make()[1])}
+    return {name: sql for name, make in _every().items() if (sql := make()[1])}

@@ -1,6 +1,6 @@
 """Whole runs on files: mine, filter, expand, improve, folds, randomise.
 
-python -m duolith TASK SETTINGS.json, with the settings left, right (paths of CSV tables), key, out, and constraints by name.
+python -m duolith TASK SETTINGS (JSON or XML), with the settings left, right (paths of CSV tables), key, out, and constraints by name.
 """
 
 from __future__ import annotations
@@ -49,6 +49,33 @@ def candidate_literals(df: DataFrame, of: dict[str, int], c: M.Constraints, n: i
     return out
 
 
+def read_settings(spark: SparkSession, path: str) -> dict:
+    """Settings from a JSON file, or from XML with <parameter> elements that have a <name> and one or more <value>s; wherever Spark can read."""
+    import xml.etree.ElementTree as tree
+
+    # one small file, in the order of its lines
+    text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()).strip()
+    if not text.startswith("<"):
+        return json.loads(text)
+    if "<!" in text.replace("<!--", ""):
+        raise ValueError("declarations aren't read in settings")
+    known = {f.name: f.default for f in fields(M.Constraints)}
+    out: dict = {}
+    for p in tree.fromstring(text).iter("parameter"):
+        name, values = (p.findtext("name") or "").strip(), [(v.text or "").strip() for v in p.findall("value")]
+        default = known.get(name)
+        if isinstance(default, bool):
+            out[name] = values[0].lower() in ("true", "yes", "1")
+        elif isinstance(default, tuple):
+            out[name] = values
+        elif isinstance(default, (int, float)):
+            number = float(values[0])
+            out[name] = int(number) if isinstance(default, int) and number.is_integer() else number
+        else:
+            out[name] = values[0] if len(values) == 1 else values
+    return out
+
+
 def constraints(settings: dict) -> M.Constraints:
     known = {f.name: f for f in fields(M.Constraints)}
     return M.Constraints(**{k: tuple(v) if isinstance(v, list) else v for k, v in settings.items() if k in known})
@@ -64,7 +91,10 @@ def load(spark: SparkSession, settings: dict) -> tuple[M.Data, tuple[list[str],
     rows = rows.persist()
     sides = ({k: v for k, v in of_l.items() if k != key}, {(f"{k}_R" if k in of_l else k): v for k, v in of_r.items() if k != key})
     n = rows.count()
-    return M.Data(rows, tuple(candidate_literals(rows, s, c, n) for s in sides), n=n), tuple(list(s) for s in sides), c
+    if settings.get("fixed_literals", False):  # combine literals as they are cut once
+        return M.Data(rows, tuple(candidate_literals(rows, s, c, n) for s in sides), n=n), tuple(list(s) for s in sides), c
+    lits = tuple(candidate_literals(rows, s, c, n) for s in sides)
+    return M.Data(rows, lits, n=n, kinds=sides), tuple(list(s) for s in sides), c
 
 
 def run(spark: SparkSession, task: str, settings: dict) -> list[dict]:
@@ -73,7 +103,7 @@ def run(spark: SparkSession, task: str, settings: dict) -> list[dict]:
     if task == "mine":
         found = M.mine(data, c, settings.get("only_pairs", False))
     elif task == "folds":
-        found = K.run_folds(data.rows, settings.get("k", 5), lambda rows: [x["queries"] for x in M.mine(M.Data(rows, data.literals), c)], settings.get("seed", 0))
+        found = K.run_folds(data.rows, settings.get("k", 5), lambda rows: [x["queries"] for x in M.mine(M.Data(rows, data.literals, kinds=data.kinds), c)], settings.get("seed", 0))
         found = M.scored(data, c, [x["queries"] for x in found])
     else:
         given = M.scored(data, c, [x["queries"] for x in R.read_redescriptions(spark, settings["redescriptions"])])
@@ -102,8 +132,6 @@ def _given(task: str, given: Sequence[dict], data: M.Data, columns: tuple[list[s
 def main(args: Sequence[str]) -> None:
     task, path = args
     spark = SparkSession.builder.appName("duolith").getOrCreate()
-    with open(path) as f:
-        settings = json.load(f)
-    for x in run(spark, task, settings):
+    for x in run(spark, task, read_settings(spark, path)):
         print(f"{x['acc']:.3f}\t{x['pval']:.3g}\t{x['left']}\t{x['right']}")
     spark.stop()

@@ -155,6 +155,15 @@ def import_pair(spark: SparkSession, left: str, right: str, **options) -> tuple[
     return out[0][0], out[1][0], out[0][1], out[1][1]
 
 
+def read_transactions(spark: SparkSession, path: str, **options) -> tuple[DataFrame, dict[str, int]]:
+    """One side alone, dense or sparse, typed, with the kinds of its columns; transactions are pairs of an id and an item."""
+    df, forced = read_csv(spark, path, **options)
+    df = from_sparse(df) if is_sparse(df) else df
+    rid = special(df, ID_NAMES)
+    of = kinds(df.drop(rid) if rid else df, forced=forced)
+    return typed(df, of), of
+
+
 def write_csv(df: DataFrame, path: str, rid: str, density: float = 0.25) -> str:
     """Write dense, or as triples or pairs where a smaller share of the cells is filled; gives the form."""
     names = [c for c in df.columns if c != rid]
