@@ -777,6 +777,27 @@ def tree_stump() -> Made:
       SELECT count(*) FILTER (l AND r) AS Exx, count(*) FILTER (l AND NOT r) AS Exo, count(*) FILTER (NOT l AND r) AS Eox, count(*) FILTER (NOT l AND NOT r) AS Eoo FROM q"""
 
 
+def first_layer() -> Made:
+    """The first layer of a tree over numbers and categories: the split with the least Gini impurity among all columns."""
+    target = parse("[qty>100]")
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        from ..operators.trees import Leaf, next_layer, query_of
+
+        rows = sides(s, d)
+        atoms = [Q.columns_of(rows, {"lines": 3, "priority": 2}, 50), []]
+        leaves = next_layer(settled(Q.coded(rows, atoms, "rid")), atoms[0], [Leaf()], target, 0, min_leaf=20)
+        return evaluate(rows, [(query_of(leaves), target)]).select("Exx", "Exo", "Eox", "Eoo")
+
+    return run, T + """, h AS (SELECT lines AS v, count(*) AS n, count(*) FILTER (qty >= 100) AS p FROM t GROUP BY 1),
+      c AS (SELECT x.v AS cut, sum(h.n) FILTER (h.v <= x.v) AS n1, sum(h.p) FILTER (h.v <= x.v) AS p1, sum(h.n) FILTER (h.v > x.v) AS n2, sum(h.p) FILTER (h.v > x.v) AS p2 FROM h x, h GROUP BY x.v),
+      s AS (SELECT 'n' AS kind, cut::VARCHAR AS cut, n1, p1, n2, p2 FROM c WHERE n1 >= 20 AND n2 >= 20 UNION ALL
+        SELECT 'c', priority, count(*), count(*) FILTER (qty >= 100), (SELECT count(*) FROM t) - count(*), (SELECT count(*) FILTER (qty >= 100) FROM t) - count(*) FILTER (qty >= 100) FROM t GROUP BY priority),
+      b AS (SELECT kind, cut, p1 * 2 > n1 AS low, p2 * 2 > n2 AS high FROM s ORDER BY 2 * p1::DOUBLE * (n1 - p1) / n1 + 2 * p2::DOUBLE * (n2 - p2) / n2 LIMIT 1),
+      q AS (SELECT CASE WHEN CASE WHEN kind = 'n' THEN lines <= try_cast(cut AS INTEGER) ELSE priority = cut END THEN low ELSE high END AS l, qty >= 100 AS r FROM t, b)
+      SELECT count(*) FILTER (l AND r) AS Exx, count(*) FILTER (l AND NOT r) AS Exo, count(*) FILTER (NOT l AND r) AS Eox, count(*) FILTER (NOT l AND NOT r) AS Eoo FROM q"""
+
+
 def run_signatures() -> Made:
     """MinHash values of runs of buckets, from those of the buckets."""
     coeffs, prime = [[(7, 11), (101, 5)], [(20, 40), (118, 36)]], 1_000_003
@@ -962,7 +983,7 @@ ALL: dict[str, Callable[[], Made]] = {
         result_supports, parameters_file, time_bound, derived_literals, kleene_truth, query_probability, rewritten_queries, shown_queries, masks, category_literals, align_by_position, numbered_rows, single_table_pairs,
         unseen_pairs, pvalue_of_supports, overlap_of_areas, part_moves, sorted_items, filtered_items, first_of_each_left, unlike_the_first, candidate_orders, selection_pipeline, weighted_scores, best_of_each_column,
         double_negations, fields_of_items, collapsed_buckets, tail_buckets, least_error_segments, buckets_by_edges, best_negative_interval, same_thresholds, category_sets, searched_pairs, searched_extensions,
-        one_generation, filled_holes, pruned_and_improved, found_condition, tree_stump, run_signatures, literal_rows, derived_columns, possible_columns, random_folds, equal_folds, grouped_folds, folds_of_a_column,
+        one_generation, filled_holes, pruned_and_improved, found_condition, tree_stump, first_layer, run_signatures, literal_rows, derived_columns, possible_columns, random_folds, equal_folds, grouped_folds, folds_of_a_column,
         folded_run, permuted_side, shuffled_traits, swapped_sums, rows_of_a_redescription, hops, near_places, streamed_parts, missing_aware_pairs,
     )
 } | {"similar_height_buckets": similar_height}

@@ -465,6 +465,10 @@ def mine_itemsets(data: Data, c: Constraints) -> list[dict]:
 def mine_trees(data: Data, c: Constraints) -> list[dict]:
     """Redescriptions from decision trees, each begun from one literal of an initial pair. Categories take part as 0/1 columns."""
     starts = initial_pairs(data, c)
+    if c.mining_algo == "layered" and data.kinds:
+        made = [T.layered(data.rows, x["queries"][1 - side], data.kinds, depth=c.tree_depth, min_leaf=max(1, c.of("min_itm_c", data.n)), side=side, cuts=c.max_cutpoints, rid=data.rid) for x in starts for side in (0, 1)]
+        best = {steps[T.pick_step([a for _, a in steps])][0]: None for steps in made if steps}
+        return [y for y in scored(data, c, list(best)) if enough(data, c, y)]
     kinds = data.kinds or tuple({x.var: {Bool: BOOLEAN, Cat: CATEGORICAL}.get(type(x), NUMERICAL) for x in side} for side in data.literals)
     rows, columns, flags, cats = data.rows, [], set(), {}
     for side in kinds:
