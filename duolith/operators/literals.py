@@ -296,6 +296,17 @@ def interval_literal(var: str, bounds: Sequence[tuple[float, float]], first: int
     return None if low == -INF and high == INF else Num(var, low, high)
 
 
+def rounded(bound: float, histogram: Sequence[float], digits: int = 12, upper: bool = False) -> float:
+    """The bound of an interval with as few decimals as select the same of the distinct values; upper: it is the greatest of them."""
+    key = (lambda v: v <= bound) if upper else (lambda v: v >= bound)
+    wanted = [key(v) for v in histogram]
+    for d in range(digits):
+        r = round(bound, d)
+        if [(v <= r) if upper else (v >= r) for v in histogram] == wanted:
+            return r
+    return bound
+
+
 def initial_literals(long: DataFrame, buckets: DataFrame, min_in: int, min_out: int, rows: int) -> DataFrame:
     """side, cid, kind, category, low, high, n: Booleans, single categories and runs of buckets with support within the bounds."""
     fits = (F.col("n") >= min_in) & (F.col("n") <= rows - min_out)

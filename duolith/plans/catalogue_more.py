@@ -625,6 +625,18 @@ def same_thresholds() -> Made:
     return run, T + f"SELECT a::DOUBLE AS a, b::DOUBLE AS b, count(*) FILTER (lines > a AND lines <= b) = 0 AS same FROM t, (VALUES {', '.join(map(str, tries))}) v(a, b) GROUP BY a, b"
 
 
+def rounded_thresholds() -> Made:
+    """Bounds with as few decimals as keep the rows."""
+    bounds = (1.23456, 3.0001, 4.9999, 6.5432)
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        values = [r["value"] for r in L.value_counts(sides(s, d), "lines").collect()]
+        return s.createDataFrame([(b, L.rounded(b, values), L.rounded(b, values, upper=True)) for b in bounds], "bound double, low double, high double")
+
+    same = lambda sign: f"(SELECT min_by(round(bound, d::INTEGER), d) FROM (SELECT d, bool_and((lines {sign} bound) = (lines {sign} round(bound, d::INTEGER))) AS ok FROM t, range(12) r(d) GROUP BY d) WHERE ok)"
+    return run, T + " UNION ALL ".join(f"SELECT {b}::DOUBLE AS bound, {same('>=').replace('bound', f'{b}::DOUBLE')} AS low, {same('<=').replace('bound', f'{b}::DOUBLE')} AS high" for b in bounds)
+
+
 # Searches.
 def category_sets() -> Made:
     """The two sets of categories, of one or two each, that agree best."""
@@ -945,6 +957,21 @@ def near_places() -> Made:
       SELECT a.rid AS a, b.rid AS b FROM p a JOIN p b ON a.rid < b.rid AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 36"""
 
 
+def places_of_a_support() -> Made:
+    """Cohesion of a support over the neighbour graph that an extension makes of the places."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        from ..operators.extensions import Extended
+
+        c = table(s, d, "customer").where("c_custkey <= 700").select(F.col("c_custkey").alias("rid"), (F.col("c_custkey") * 37 % 211).cast("double").alias("x"), F.round(F.col("c_acctbal") / 100, 3).alias("y"), "c_mktsegment", "c_nationkey")
+        queries = parse("c_mktsegment={BUILDING,MACHINERY}"), parse("[c_nationkey<15]")
+        return Extended(c).add("geo", reach=6.0).metric("geo", "cohesion", queries)
+
+    return run, """WITH p AS (SELECT c_custkey AS rid, (c_custkey * 37 % 211)::DOUBLE AS x, round(c_acctbal / 100, 3) AS y, c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey <= 15 AS s FROM customer WHERE c_custkey <= 700),
+      e AS (SELECT a.s AS p, b.s AS q FROM p a JOIN p b ON a.rid < b.rid AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 36),
+      c AS (SELECT count(*) FILTER (p AND q) AS n_inner, count(*) FILTER (p <> q) AS n_outer FROM e) SELECT *, CASE WHEN n_inner + n_outer > 0 THEN n_inner / (n_inner + n_outer) ELSE 0.0 END AS cohesion FROM c"""
+
+
 def streamed_parts() -> Made:
     """Part counts over a stream of aligned rows, after all of it has come."""
     pairs = [(LEFT, RIGHT), (WIDE, RIGHT)]
@@ -982,8 +1009,8 @@ ALL: dict[str, Callable[[], Made]] = {
         csv_dense, csv_plain, csv_forced_kinds, sparse_import, sparse_pairs, special_columns, coordinates_file, metadata_rows, import_both_sides, transactions_file, redescription_text, pairs_cache, package_round_trip,
         result_supports, parameters_file, time_bound, derived_literals, kleene_truth, query_probability, rewritten_queries, shown_queries, masks, category_literals, align_by_position, numbered_rows, single_table_pairs,
         unseen_pairs, pvalue_of_supports, overlap_of_areas, part_moves, sorted_items, filtered_items, first_of_each_left, unlike_the_first, candidate_orders, selection_pipeline, weighted_scores, best_of_each_column,
-        double_negations, fields_of_items, collapsed_buckets, tail_buckets, least_error_segments, buckets_by_edges, best_negative_interval, same_thresholds, category_sets, searched_pairs, searched_extensions,
+        double_negations, fields_of_items, collapsed_buckets, tail_buckets, least_error_segments, buckets_by_edges, best_negative_interval, same_thresholds, rounded_thresholds, category_sets, searched_pairs, searched_extensions,
         one_generation, filled_holes, pruned_and_improved, found_condition, tree_stump, first_layer, run_signatures, literal_rows, derived_columns, possible_columns, random_folds, equal_folds, grouped_folds, folds_of_a_column,
-        folded_run, permuted_side, shuffled_traits, swapped_sums, rows_of_a_redescription, hops, near_places, streamed_parts, missing_aware_pairs,
+        folded_run, permuted_side, shuffled_traits, swapped_sums, rows_of_a_redescription, hops, near_places, places_of_a_support, streamed_parts, missing_aware_pairs,
     )
 } | {"similar_height_buckets": similar_height}

@@ -325,3 +325,18 @@ def test_fold_columns(spark):
     named, of = K.with_fold_column(df)
     assert of == {"folds_split": 2} and K.fold_candidates(named) == ["a", "folds_split"]
     assert sorted(r.fold for r in K.column_folds(named, "folds_split").select("fold").distinct().collect()) == [f"F:F:{i}" for i in range(5)]
+
+
+def test_extensions_are_registered_by_name(spark):
+    from duolith.operators import extensions as E
+
+    pts = spark.createDataFrame([(0, 0.0, 0.0, True), (1, 0.5, 0.0, True), (2, 1.0, 0.0, False), (3, 9.0, 9.0, True), (4, 9.3, 9.0, True), (5, None, 1.0, True)], "rid long, x double, y double, a boolean")
+    data = E.Extended(pts).add("geo", reach=0.6)
+    r = data.metric("geo", "cohesion", (Bool("a"), Bool("a"))).first()
+    assert (r.n_inner, r.n_outer) == (2, 1)
+    assert tuple(data.metric("geo", "pieces", (Bool("a"), Bool("a"))).first()) == (2, 2)
+    E.register("flat", lambda rows, rid, k: {"t": rows.select(rid)}, size=lambda tables, inside: inside.agg(F.count("*").alias("n")))
+    assert E.Extended(pts).add("flat", k=1).metric("flat", "size", (Bool("a"), Bool("a"))).first().n == 5
+    with pytest.raises(ValueError):
+        E.register("geo", lambda rows: {})
+    assert L.rounded(2.3456, [1, 2, 3]) == 2.3 and L.rounded(2.6, [1, 2, 3], upper=True) == 2.6 and L.rounded(2.6, [1, 2, 3]) == 3.0
