@@ -30,6 +30,9 @@ from ..operators import trees as T
 from ..operators.align import BOOLEAN, CATEGORICAL, NUMERICAL
 from ..operators.support import PARTS, evaluate, measured
 
+#: Row numbers of that size and more are hashed below it, a prime, before MinHash.
+WIDE = 2_147_483_647
+
 #: What some parameters may be.
 CHOICES = {
     "mining_algo": ("greedy", "itemsets", "cartwheel", "sprit", "split", "layered"),
@@ -75,7 +78,7 @@ class Constraints:
     rel_impacc: float = 0.0
     ext_once: bool = False
     lsh_extensions: bool = False
-    lsh_filtering: bool = True
+    lsh_filtering: bool = False
     lsh_nb_bands: int = 40
     lsh_nb_rows: int = 0
     lsh_nb_bands_ext: int = 20
@@ -122,6 +125,19 @@ class Data:
         marks = [F.when(to_column(x), F.struct(F.lit(s).alias("side"), F.lit(i).alias("lit"))) for s in (0, 1) for i, x in enumerate(self.literals[s])]
         return self.rows.select(self.rid, F.explode(F.array_compact(F.array(*marks))).alias("m")).select("m.side", "m.lit", self.rid)
 
+    def hash_range(self) -> int:
+        """Row numbers are below it. Hashes must be modulo a prime above them, else several rows share each hash and all minima are small."""
+        if "range" not in self.cache:
+            top = self.rows.agg(F.max(self.rid)).first()[0] or 0
+            self.cache["range"] = max(self.n, int(top) + 1)
+        return min(self.cache["range"], WIDE)
+
+    def hashable(self, supports: DataFrame) -> DataFrame:
+        """supports with row numbers below the hash range: very large ones, whose products would overflow, are hashed to it."""
+        if self.hash_range() < WIDE:
+            return supports
+        return supports.withColumn(self.rid, F.pmod(F.xxhash64(self.rid), F.lit(WIDE)))
+
     def coarse(self, c: Constraints) -> tuple[list[list[Q.Atoms]], DataFrame]:
         """The atoms for initial pairs, numbers in buckets, and the rows coded by them."""
         if "coarse" not in self.cache:
@@ -221,15 +237,15 @@ def in_order(items: list[dict], how: str) -> list[dict]:
 def lsh_pairs(data: Data, c: Constraints) -> list[dict]:
     """Pairs whose supports agree in a band of MinHash values, scored. With the kinds of columns, numbers take part by all runs of buckets."""
     rows = c.lsh_nb_rows or H.band_rows(c.lsh_nb_bands, c.init_minscore or 0.5)
-    p, coeffs = H.next_prime(data.n), H.coefficients(data.n, c.lsh_nb_bands, rows, c.lsh_random_seed)
+    p, coeffs = H.next_prime(data.hash_range()), H.coefficients(data.hash_range(), c.lsh_nb_bands, rows, c.lsh_random_seed)
     if not data.kinds:
-        tried = H.candidates(H.signatures(data.supports(), coeffs, p, rid=data.rid)).collect()  # pairs of literals, not of rows
+        tried = H.candidates(H.signatures(data.hashable(data.supports()), coeffs, p, rid=data.rid)).collect()  # pairs of literals, not of rows
         return scored(data, c, [(data.literals[0][i], data.literals[1][j]) for i, j in sorted((r["left"], r["right"]) for r in tried)])
     sides, table = data.coarse(c)
     low, out = c.of("min_itm_in", data.n), c.of("min_itm_out", data.n)
     factor = c.lsh_min_itm_out or (H.out_factor(c.init_minscore, data.n, out) if c.init_minscore else 1.0)
     most = data.n - out * factor
-    signed = settled(H.signatures(atom_supports(data, sides, table), coeffs, p, ("side", "cid", "bucket"), data.rid))
+    signed = settled(H.signatures(data.hashable(atom_supports(data, sides, table)), coeffs, p, ("side", "cid", "bucket"), data.rid))
     numeric = [(s, i) for s in (0, 1) for i, a in enumerate(sides[s]) if a.kind == NUMERICAL]
     is_number = F.struct("side", "cid").isin(*(F.struct(F.lit(s), F.lit(i)) for s, i in numeric)) if numeric else F.lit(False)
     single = signed.where(~is_number & (F.col("n") >= max(low, rows)) & (F.col("n") <= most)).select("side", "cid", F.col("bucket").alias("first"), F.col("bucket").alias("last"), "sig")
@@ -384,7 +400,7 @@ def bucket_signatures(data: Data, c: Constraints) -> tuple[DataFrame, list, int]
     """side, col, band, sig of what a column can add: its truth, its categories, and for numbers buckets of similar height, nb_ext_buckets and
     twice as many in each further round. With their coefficients."""
     if "signed" not in data.cache:
-        p, coeffs = H.next_prime(data.n), H.coefficients(data.n, c.lsh_nb_bands_ext, c.lsh_nb_rows_ext, c.lsh_random_seed + 1)
+        p, coeffs = H.next_prime(data.hash_range()), H.coefficients(data.hash_range(), c.lsh_nb_bands_ext, c.lsh_nb_rows_ext, c.lsh_random_seed + 1)
         if data.kinds:
             sides, table = data.fine(c)
             supports = atom_supports(data, sides, table).withColumnRenamed("cid", "col")
@@ -404,7 +420,7 @@ def bucket_signatures(data: Data, c: Constraints) -> tuple[DataFrame, list, int]
             keyed = supports.join(F.broadcast(placed), ["side", "col", "bucket"]).select("side", "col", F.explode("places").alias("bucket"), data.rid)  # as many as the atoms
         else:
             keyed = data.supports().select("side", F.col("lit").alias("col"), F.lit(0).alias("bucket"), data.rid)
-        signed = H.signatures(keyed, coeffs, p, ("side", "col", "bucket"), data.rid)
+        signed = H.signatures(data.hashable(keyed), coeffs, p, ("side", "col", "bucket"), data.rid)
         data.cache["signed"] = (settled(H.in_bands(signed, "side", "col").distinct()), coeffs, p)
     return data.cache["signed"]
 
@@ -418,7 +434,7 @@ def suggestions(data: Data, c: Constraints, beam: Sequence[dict], most: int) ->
         l, r = (to_column(q) for q in x["queries"])
         marks += [F.when(cond, F.struct(F.lit(i).alias("item"), F.lit(op).alias("target"))) for op, cond in (("and", l & r), ("or", l | r)) if op in c.ops_query]
     targets = data.rows.select(data.rid, F.explode(F.array_compact(F.array(*marks))).alias("m")).select("m.item", "m.target", data.rid)
-    probes = H.in_bands(H.signatures(targets, coeffs, p, ("item", "target"), data.rid), "item")
+    probes = H.in_bands(H.signatures(data.hashable(targets), coeffs, p, ("item", "target"), data.rid), "item")
     met = probes.join(signed, ["band", "sig"]).groupBy("item", "side", "col").agg(F.count("*").alias("n"))
     return {(r["item"], r["side"], r["col"]) for r in met.orderBy(F.desc("n"), "item", "side", "col").limit(most).collect()}
 
